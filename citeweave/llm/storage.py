@@ -1,0 +1,48 @@
+"""Materialised intermediate tables in the cluster's shared folder.
+
+Iterative operators cut lineage by writing Parquet below the folder named in
+``spark.checkpoint.dir`` and reading it back, so a lost executor costs one
+task retry and never a recomputation from the start.  When the setting is
+absent (unit tests) a folder of this process is used and the setting is left
+alone.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL_ROOT: list[str] = []
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's, or a local one if none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not _LOCAL_ROOT:
+        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="citeweave-"))
+    return _LOCAL_ROOT[0]
+
+
+class Store:
+    """Tables of one operator call; ``drop`` removes those no longer needed."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.base = f"{scratch_root(spark)}/citeweave/{label}-{uuid.uuid4().hex[:12]}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and return a DataFrame that reads it back."""
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables written by :meth:`put` (missing ones are ignored)."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
