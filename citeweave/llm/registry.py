@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .hilbert import op5_sharding_hilbert
+from .jaccard_join import op4_ngram_jaccard_join
 from .media import op1_media_flac
 from .mixing import op9_mixing_sources
 from .packing import op8_best_fit_packing
+from .quality import op10_quality_qda
 from .secrets import op7_secret_scans
+from .toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_flac": op1_media_flac,
+    "op2_toxicity": op2_toxicity,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sharding_hilbert": op5_sharding_hilbert,
     "op7_secret_scans": op7_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing_sources": op9_mixing_sources,
+    "op10_quality_qda": op10_quality_qda,
 }
 
 ORACLE_SQL: dict[str, str] = {}
