@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cover_tree
+from .chunk_dedup import op3_substring_dedup
 from .hilbert import op5_sharding_hilbert
 from .jaccard_join import op4_ngram_jaccard_join
 from .media import op1_media_flac
@@ -18,12 +20,14 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_flac": op1_media_flac,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_sharding_hilbert": op5_sharding_hilbert,
+    "op6_exact_topk": cover_tree.op6_exact_topk,
     "op7_secret_scans": op7_secret_scans,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_qda": op10_quality_qda,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": cover_tree.ORACLE}

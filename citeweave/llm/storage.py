@@ -31,14 +31,19 @@ class Store:
     """Tables of one operator call; ``drop`` removes those no longer needed."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark, self.schemas = spark, {}
         self.base = f"{scratch_root(spark)}/citeweave/{label}-{uuid.uuid4().hex[:12]}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a DataFrame that reads it back."""
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self.schemas[name] = df.schema
+        return self.get(name)
+
+    def get(self, name: str) -> DataFrame:
+        """A fresh DataFrame over a table written before (with column identities of its own)."""
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables written by :meth:`put` (missing ones are ignored)."""

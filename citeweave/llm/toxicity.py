@@ -98,21 +98,26 @@ def fit_model(documents: list[bytes], labels: np.ndarray, class_sizes: tuple[int
     if not len(labels) or labels.min() == labels.max():
         return flat
     positive = labels > 0
-    parts = [unpacked(d) for d in documents]
-    index = np.concatenate([u for u, _, _ in parts])
-    value = np.concatenate([shares(c, n) for _, c, n in parts])
-    owner = np.repeat(np.arange(len(parts)), [len(u) for u, _, _ in parts])
-    totals = [np.bincount(index[side[owner]], weights=value[side[owner]], minlength=1 << BITS) + SMOOTHING for side in (positive, ~positive)]
+    # Two passes, so that only n-grams that count are held at once.
+    totals = [np.full(1 << BITS, SMOOTHING), np.full(1 << BITS, SMOOTHING)]
+    for raw, y in zip(documents, positive, strict=True):
+        found, counts, total = unpacked(raw)
+        totals[0 if y else 1][found] += shares(counts, total)
     ratio = np.log(totals[0] / totals[0].sum()) - np.log(totals[1] / totals[1].sum())
     used = np.nonzero(np.abs(ratio) >= SIGNIFICANCE * np.sqrt(1 / totals[0] + 1 / totals[1]))[0]
     if not len(used):
         return flat
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
-    kept = place[index] >= 0
-    index, owner, value = index[kept], owner[kept], value[kept]
-    column, value = place[index], value * ratio[index]
-    scale = 1.0 / np.sqrt(max(1e-12, (value * value).sum() / len(parts)))
+    columns, values, sizes = [], [], []
+    for raw in documents:
+        found, counts, total = unpacked(raw)
+        kept = place[found] >= 0
+        columns.append(place[found[kept]])
+        values.append(shares(counts[kept], total) * ratio[found[kept]])
+        sizes.append(len(columns[-1]))
+    column, value, owner = np.concatenate(columns), np.concatenate(values), np.repeat(np.arange(len(documents)), sizes)
+    scale = 1.0 / np.sqrt(max(1e-12, (value * value).sum() / len(documents)))
     value = value * scale
     y = positive.astype(np.float64)
     w, b = np.zeros(len(used)), 0.0
