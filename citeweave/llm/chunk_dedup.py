@@ -3,6 +3,7 @@
 A boundary stands where the gear hash of the last ``WINDOW`` bytes is small and
 no other such place lies within ``LEAST`` bytes before it.  Both conditions
 look only at nearby bytes, so an insertion moves boundaries only next to it.
+Stretches of over ``MOST`` bytes without a boundary are cut at least hashes.
 Chunks are deduplicated by digest; consecutive chunks of a document that also
 occur in another document form a repeated span, reported from ``MIN_WORDS`` on
 (a passage loses up to a chunk at each end).
@@ -30,7 +31,8 @@ from .textops import SPACES, mix64
 WINDOW = 16
 MEAN = 16
 LEAST = 12
-MIN_WORDS = 14
+MOST = 256
+MIN_WORDS = 11
 #: One pseudorandom number per byte value.
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -44,6 +46,22 @@ def gear_hash(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def _long_gaps(h: np.ndarray, start: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Extra boundaries in stretches over ``MOST`` bytes without one, as in text that repeats a few words.
+
+    The cut is at the least hash of the next ``MOST / 4`` places, so after the
+    first cut a periodic stretch is cut alike wherever it stands.
+    """
+    marks = np.union1d(place, start)
+    extra, quarter = [], MOST // 4
+    for i in np.nonzero(np.diff(marks) > MOST)[0]:
+        at, stop = int(marks[i]), int(marks[i + 1])
+        while stop - at > MOST:
+            at += quarter + int(h[at + quarter : at + 2 * quarter].argmin()) + 1
+            extra.append(at)
+    return np.array(extra, np.int64)
+
+
 def chunk_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(joined bytes, document starts, chunk ends, chunk's document) of all texts; every text ends a chunk."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -51,13 +69,14 @@ def chunk_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if not len(raw):
         return raw, start, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.nonzero(gear_hash(raw) < np.uint32((1 << 32) // MEAN))[0] + 1
+    h = gear_hash(raw)
+    place = np.nonzero(h < np.uint32((1 << 32) // MEAN))[0] + 1
     doc = np.searchsorted(start, place - 1, side="right") - 1
     inside = place - start[doc] >= WINDOW  # before that the window reaches into another text
     place, doc = place[inside], doc[inside]
     apart = np.ones(len(place), bool)
     apart[1:] = (place[1:] - place[:-1] >= LEAST) | (doc[1:] != doc[:-1])
-    place = np.union1d(place[apart], start[1:][sizes > 0])
+    place = np.union1d(np.concatenate([place[apart], _long_gaps(h, start, place[apart])]), start[1:][sizes > 0])
     return raw, start, place, np.searchsorted(start, place - 1, side="right") - 1
 
 

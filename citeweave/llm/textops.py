@@ -85,9 +85,9 @@ def shingles(words: Words, count: int, size: int) -> tuple[np.ndarray, np.ndarra
     if len(few):
         short = []
         for d in few:
-            h = np.uint64(per_doc[d])
-            for x in words.hash[first[d] : first[d + 1]]:
-                h = mix64(np.array([h * _P + x], np.uint64))[0]
+            h = int(per_doc[d])
+            for x in words.hash[first[d] : first[d + 1]].tolist():
+                h = int(mix64(np.array([h * int(_P) + x & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
             short.append(h)
         hashes, owner = np.concatenate([hashes, np.array(short, np.uint64)]), np.concatenate([owner, few])
     order = np.lexsort((hashes, owner))

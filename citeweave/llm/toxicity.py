@@ -39,7 +39,7 @@ FIT_ROWS_PER_CLASS = 1500
 SMOOTHING = 1.0
 PENALTY = 1e-5
 #: A ratio counts where it exceeds this many standard errors.
-SIGNIFICANCE = 4.0
+SIGNIFICANCE = 3.0
 #: Added to a document's n-gram count, so that very short texts claim little.
 OFFSET = 50
 STEPS = 100
