@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def bounded_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose ``column`` holds at most ``max_bytes`` (or one longer row).
 
     Nothing is dropped; a row longer than the bound is a slice of its own.
