@@ -1,0 +1 @@
+"""Analytics over bibliographic and text records, expressed in Spark DataFrames."""
