@@ -207,7 +207,8 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     streams = placed.join(F.broadcast(offsets), on).select("row_id", "doc_id", placed.source, "size", "src", (F.col("source_start") + F.col("local_start")).alias("start"))
     n = F.lit(BLOCK_WORDS).cast("long")
     blocks = streams.filter("size > 0").select("row_id", "src", "size", "start", F.explode(F.expr(f"sequence(start div {BLOCK_WORDS}, (start + size - 1) div {BLOCK_WORDS})")).alias("block"))
-    joined = blocks.join(_slots(spark, plans, seed), ["src", "block"])
+    # The planner takes the generated slots for a handful of rows; both sides grow with the corpus.
+    joined = blocks.join(_slots(spark, plans, seed).hint("merge"), ["src", "block"])
     lo = F.greatest(F.col("start"), F.col("block") * n)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * n + F.col("words"))
     drawn = joined.filter(hi > lo).select("row_id", "slot", "shard", (lo - F.col("start")).alias("lo"), (hi - F.col("start")).alias("hi"))
