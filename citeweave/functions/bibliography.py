@@ -60,10 +60,12 @@ def entry_type(source: Column, venue: Column, doi: Column) -> Column:
 
 
 def escape(c: Column) -> Column:
-    """BibTeX escapes in one pass: characters are mapped one by one, so no escape is escaped again."""
-    text = F.coalesce(c, F.lit(""))
-    marks = F.create_map(*(F.lit(x) for pair in ESCAPES for x in pair))
-    return F.array_join(F.transform(F.split(text, ""), lambda ch: F.coalesce(F.try_element_at(marks, ch), ch)), "")
+    """BibTeX escapes; the two whose escapes hold braces come last, so that no escape is escaped again."""
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"([&%$#_{}])", r"\\$1")
+    for ch, written in ESCAPES:
+        if ch in "~^":
+            out = F.replace(out, F.lit(ch), F.lit(written))
+    return out
 
 
 def last_name(author: Column) -> Column:
