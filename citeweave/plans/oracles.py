@@ -165,8 +165,8 @@ o AS (SELECT *, row_number() OVER (ORDER BY relevance >= 0.4 DESC, CASE WHEN rel
 SELECT pos, relevance FROM o, c WHERE rn <= CASE WHEN n > 20 THEN greatest(above, 20) ELSE above END""",
     "composite_rank": f"""WITH {RELEVANCE}, x AS (
   SELECT *, (pos % 10) / 10.0 AS hub, max(relevance) OVER () AS mr, max(citation_count) OVER () AS mc, min(year) OVER () AS y0, max(year) OVER () AS y1 FROM rel), y AS (SELECT *, max(hub) OVER () AS mh FROM x)
-SELECT pos, round(round(0.55 * CASE WHEN mr > 0 THEN relevance / mr ELSE 0 END + 0.20 * ln(1 + citation_count) / CASE WHEN mc > 0 THEN ln(1 + mc) ELSE 1 END
-  + 0.15 * (year - y0) / greatest(1, y1 - y0) + 0.10 * least(1.0, len(mq) / {len(QUERIES)}.0) + 0.10 * CASE WHEN mh > 0 THEN hub / mh ELSE 0 END, 4), 3) AS score FROM y""",
+SELECT pos, round(0.55 * CASE WHEN mr > 0 THEN relevance / mr ELSE 0 END + 0.20 * ln(1 + citation_count) / CASE WHEN mc > 0 THEN ln(1 + mc) ELSE 1 END
+  + 0.15 * (year - y0) / greatest(1, y1 - y0) + 0.10 * least(1.0, len(mq) / {len(QUERIES)}.0) + 0.10 * CASE WHEN mh > 0 THEN hub / mh ELSE 0 END, 4) AS score FROM y""",
     "pool_top": f"WITH {PAPERS} SELECT pos, CAST(citation_count AS DOUBLE) AS score FROM papers ORDER BY citation_count DESC, pos LIMIT 120",
     "prf_terms": f"""WITH {PAPERS}, t AS (SELECT *, {_PRF_TOKENS} AS ws FROM papers),
 n AS (SELECT count(*) AS n FROM t), d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(ws)) AS term FROM t) GROUP BY term),
@@ -186,7 +186,7 @@ SELECT pos, CASE WHEN pos % 2 = 0 OR citation_count = 0 THEN coalesce(l.c, CASE
     "year_histogram": "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders GROUP BY 1",
     "year_range": "SELECT min(year(o_orderdate)) || '–' || max(year(o_orderdate)) AS year_range FROM orders",
     "edges_build": f"WITH {FLOW} SELECT 'W' || src AS src, 'W' || dst AS dst FROM e",
-    "pagerank_hub": f"WITH RECURSIVE {FLOW}, {_ranks('SELECT * FROM e')} SELECT node, round(r, 6) AS rank, round(round(r / max(r) OVER (), 4), 3) AS hub_score FROM ranked",
+    "pagerank_hub": f"WITH RECURSIVE {FLOW}, {_ranks('SELECT * FROM e')} SELECT node, round(r, 6) AS rank, round(r / max(r) OVER (), 4) AS hub_score FROM ranked",
     "pagerank_dangling": f"WITH RECURSIVE {FLOW}, {_ranks('SELECT * FROM e WHERE src % 3 <> 0')} SELECT node, round(r, 6) AS rank FROM ranked",
     "betweenness_bridge": f"""WITH RECURSIVE {FLOW}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 walk(s, v, path, d) AS (SELECT a, b, [a, b], 1 FROM u UNION ALL SELECT w.s, u.b, list_append(w.path, u.b), w.d + 1 FROM walk w JOIN u ON u.a = w.v WHERE NOT list_contains(w.path, u.b) AND w.d < 5),
@@ -261,5 +261,5 @@ SELECT source AS cluster, i, md5('[' || CASE WHEN pos % 2 = 0 THEN CAST(pos AS V
     "search_pool": f"""WITH {_MERGED}, {_tfidf(f"SELECT CAST(pos AS VARCHAR) AS doc, title || ' ' || title || ' ' || abstract AS text FROM merged UNION ALL SELECT 'q', {_q(_ASK)}", STOP_WORDS, 2, 20000)},
 rel AS (SELECT p.*, coalesce(ql.nq, 0) AS nq, greatest(0.0, least(1.0, coalesce(d.dot, 0.0))) AS relevance FROM merged p LEFT JOIN ql ON ql.group_id = p.pos LEFT JOIN (SELECT a.doc, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND b.doc = 'q' WHERE a.doc <> 'q' GROUP BY a.doc) d ON d.doc = CAST(p.pos AS VARCHAR)),
 x AS (SELECT *, max(relevance) OVER () AS mr, max(citation_count) OVER () AS mc, min(year) OVER () AS y0, max(year) OVER () AS y1 FROM rel)
-SELECT paper_id, title, year, citation_count, round(score, 3) AS score FROM (SELECT *, round(0.55 * relevance / mr + 0.20 * ln(1 + citation_count) / ln(1 + mc) + 0.15 * (year - y0) / greatest(1, y1 - y0) + 0.10 * least(1.0, nq / {len(QUERIES)}.0), 4) AS score FROM x) ORDER BY score DESC, pos LIMIT 20""",
+SELECT paper_id, title, year, citation_count, score FROM (SELECT *, round(0.55 * relevance / mr + 0.20 * ln(1 + citation_count) / ln(1 + mc) + 0.15 * (year - y0) / greatest(1, y1 - y0) + 0.10 * least(1.0, nq / {len(QUERIES)}.0), 4) AS score FROM x) ORDER BY score DESC, pos LIMIT 20""",
 }

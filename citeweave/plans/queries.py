@@ -124,7 +124,7 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite score of every record."""
     scored = _scored(spark, sf_dir).withColumn("hub_score", (F.col("pos") % 10) / 10.0)
-    return ranking.rank(scored, len(QUERIES)).select("pos", F.round("score", 3).alias("score"))
+    return ranking.rank(scored, len(QUERIES)).select("pos", "score")
 
 
 @query
@@ -203,7 +203,7 @@ def pagerank_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = flow_nodes(spark, sf_dir), flow_edges(spark, sf_dir)
     ranks = graph.pagerank(nodes, edges)
     hubs = graph.scaled(ranks, "rank", True, "hub_score")
-    return ranks.join(hubs, "node").select("node", F.round("rank", 6).alias("rank"), F.round("hub_score", 3).alias("hub_score"))
+    return ranks.join(hubs, "node").select("node", F.round("rank", 6).alias("rank"), "hub_score")
 
 
 @query
@@ -455,4 +455,4 @@ def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = Store(spark, "search").put(dedup.dedup_papers(papers_docs(spark, sf_dir).drop("lang")), "pool")
     scored = ranking.relevance(pool, TOPIC, list(QUERIES)).withColumn("hub_score", F.lit(0.0))
     top = ranking.top_ranked(ranking.rank(scored, len(QUERIES)), 20)
-    return top.select("paper_id", "title", F.col("year").cast("long").alias("year"), "citation_count", F.round("score", 3).alias("score"))
+    return top.select("paper_id", "title", F.col("year").cast("long").alias("year"), "citation_count", "score")
