@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citeweave.llm import jaccard_join, mixing, packing, secrets, toxicity
-from citeweave.llm.storage import Store
+from citeweave.storage import Store
 from citeweave.llm.tables import read_table
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
