@@ -24,6 +24,7 @@ def bounded_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: in
             hi = max(lo + 1, int(np.searchsorted(sizes, before + max_bytes, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
