@@ -9,12 +9,15 @@ alone.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+#: Rows of an Arrow batch while a table is written: batches of long texts stay small.
+ARROW_ROWS = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,7 +40,13 @@ class Store:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return a DataFrame that reads it back."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf = self.spark.conf
+        rows = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
         self.schemas[name] = df.schema
         return self.get(name)
 
@@ -46,8 +55,14 @@ class Store:
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables written by :meth:`put` (missing ones are ignored)."""
+        """Delete tables written by :meth:`put` (missing ones are ignored), and let shuffles of finished jobs go.
+
+        Spark removes shuffle files when the driver collects the objects that
+        stand for them, so a phase's end is the time to collect.
+        """
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
