@@ -25,7 +25,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for i, base in enumerate((_P, _P_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
