@@ -153,7 +153,7 @@ def test_numbering_and_versions(spark):
 
 
 def test_sections_and_tables(spark):
-    body = "Abstract\nWe study x.\nKeywords: a; b, c.\n1 Introduction\nHello.\n3.1 Setup\nSome setup text.\nTable 1: Scores of runs\nA  1  2\nB  3  4\nReferences\n[1] x"
+    body = "Abstract\nWe study x.\nKeywords: a; b, c.\n1 Introduction\nHello.\n3.1 Setup\nSome setup text.\nTable 1: Scores of runs\nover two seeds\nA  1  2\nB  3  4\nReferences\n[1] x"
     docs = spark.createDataFrame([(1, body), (2, ""), (3, None), (4, "plain"), (5, "Table 2: the end\nmore")], "doc long, text string")
     got = {r.doc: r.fulltext_struct for r in sections.structure(docs).collect()}
     assert [(s.heading, s.level) for s in got[1].sections][:3] == [("Abstract", 1), ("Introduction", 1), ("Setup", 2)]
