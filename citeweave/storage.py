@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOT: list[str] = []
 #: Rows of an Arrow batch while a table is written: batches of long texts stay small.
 ARROW_ROWS = 1000
+#: Lets Spark remove an execution's shuffle files when it ends: a written table has no more use for them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,12 +43,16 @@ class Store:
         """Write ``df`` as Parquet and return a DataFrame that reads it back."""
         path = f"{self.base}/{name}"
         conf = self.spark.conf
-        rows = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+        rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS), CLEANUP: "true"}
+        before = {key: conf.get(key, None) for key in own}
         try:
+            for key, value in own.items():
+                conf.set(key, value)
             df.write.mode("overwrite").parquet(path)
         finally:
-            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
         self.schemas[name] = df.schema
         return self.get(name)
 
