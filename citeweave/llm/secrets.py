@@ -3,10 +3,10 @@
 Each text is a layer.  A layer is scanned for secrets, then every encoded part
 of it is unwrapped into a child layer: percent and Unicode escapes are undone
 over the whole layer, base64 runs and compressed payloads one by one.  Children
-join the worklist until nothing new appears; a layer whose content was seen
-before in the same document is not entered again, which ends cycles.  Spans
-found in a child are mapped back to the characters of the text that encode
-them.
+join the worklist until nothing new appears; a layer with the same content for
+the same characters of the document is not entered again, which ends cycles,
+while the same content elsewhere is.  Spans found in a child are mapped back to
+the characters of the text that encode them.
 
 A null text counts as empty; rows are independent, so order, ties and repeats
 do not matter; an empty table gives an empty result.  Compressed payloads are
@@ -23,6 +23,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
@@ -207,22 +208,30 @@ def _children(layer: Layer) -> Iterator[Layer]:
     yield from _base64_children(layer)
 
 
+def _digest(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans (both as (start, kind, end) of the root text) and the number of layers entered."""
+    """Base spans, all spans (both as (start, kind, end) of the root text) and the number of distinct layers."""
     base = base_spans(text)
-    spans, seen = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work, layers = [Layer(text, range(len(text)), range(1, len(text) + 1))], 1
+    spans, texts, seen = set(base), {_digest(text.encode("utf-8", "surrogatepass"))}, set()
+    work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     while work:
         layer = work.pop()
         for child in _children(layer):
-            digest = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-            if not child.text or digest in seen:
+            if not child.text:
+                continue
+            # The text and the characters it stands for decide all that is found below.
+            digest = _digest(child.text.encode("utf-8", "surrogatepass"))
+            state = digest + _digest(array("q", child.lo).tobytes() + array("q", child.hi).tobytes())
+            if state in seen:
                 continue
-            seen.add(digest)
-            layers += 1
+            seen.add(state)
+            texts.add(digest)
             spans.update((child.lo[a], k, child.hi[b - 1]) for a, k, b in base_spans(child.text))
             work.append(child)
-    return base, sorted(spans), layers
+    return base, sorted(spans), len(texts)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -101,6 +101,17 @@ def test_layers_are_unwrapped(wrap):
     assert "hunter2" not in secrets.redact_text(text) and secrets.redact_text(text).startswith("before ")
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda b: base64.b64encode(b)])
+def test_every_copy_of_a_blob_is_found(pack):
+    blob = base64.b64encode(pack(b"some words, then password = hunter2hunter2 and the rest")).decode()
+    text = f"one {blob} two {blob}\n%20 three {blob}"
+    at = [i for i in range(len(text)) if text.startswith(blob, i)]
+    _, spans, layers = secrets.scan_text(text)
+    assert all(any(i <= a < b <= i + len(blob) for a, k, b in spans if k == 0) for i in at)
+    clean = secrets.redact_text(text)
+    assert clean.count("[secret]") == 3 and blob not in clean and layers < 8
+
+
 def test_cycles_and_plain_text():
     assert secrets.scan_text("%2525252525") [2] < 8
     assert secrets.scan_text("") == ([], [], 1)
