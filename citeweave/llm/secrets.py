@@ -6,7 +6,10 @@ over the whole layer, base64 runs and compressed payloads one by one.  Children
 join the worklist until nothing new appears; a layer with the same content for
 the same characters of the document is not entered again, which ends cycles,
 while the same content elsewhere is.  Spans found in a child are mapped back to
-the characters of the text that encode them.
+the characters of the text that encode them.  Compressed members are sought
+anywhere in decoded bytes, also in what other members expand to; members that
+follow each other are one stream.  What is found in a payload stands for all of
+it.
 
 A null text counts as empty; rows are independent, so order, ties and repeats
 do not matter; an empty table gives an empty result.  Compressed payloads are
@@ -24,7 +27,7 @@ import lzma
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
@@ -48,7 +51,11 @@ _ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+LONGEST_MAGIC = 6
 WINDOW, OVERLAP = 8 << 20, 64 << 10
+#: Bytes given to a decompressor at once; what it made of them is lost if they are damaged.
+STEP = 16
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,44 +75,133 @@ class Layer:
     hi: Iterable[int] | range
 
 
-def _expanders(raw: bytes):
-    """Streaming decompressors whose magic the payload carries."""
-    if raw[:2] == b"\x1f\x8b":
-        yield zlib.decompressobj(31)
-    if raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0:
-        yield zlib.decompressobj(15)
-    if raw[:3] == b"BZh":
-        yield bz2.BZ2Decompressor()
-    if raw[:6] == b"\xfd7zXZ\x00":
-        yield lzma.LZMADecompressor()
-    if raw[:4] == b"\x28\xb5\x2f\xfd":
-        yield zstandard.ZstdDecompressor().decompressobj()
-
-
-def _windows(raw: bytes) -> Iterator[bytes]:
-    """Expanded content of a compressed payload, in overlapping windows."""
-    for machine in _expanders(raw):
-        held, feed = b"", raw
-        try:
-            if hasattr(machine, "unconsumed_tail"):
+class Nowhere:
+    """Coordinates of layers below a payload, all of which stand for the whole of it."""
+
+    def __getitem__(self, at: int | slice):
+        return () if isinstance(at, slice) else 0
+
+
+@dataclass
+class Payload:
+    """Bytes with compressed members; they stand for characters first to last of the root."""
+
+    raw: bytes
+    first: int
+    last: int
+
+
+def _expander(head: bytes):
+    """A streaming decompressor for the magic that the bytes begin with, if any."""
+    if not _MAGIC.match(head):
+        return None
+    if head[0] == 0x1F:
+        return zlib.decompressobj(31)
+    if head[0] == 0x78:
+        return zlib.decompressobj(15)
+    if head[0] == 0x42:
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[0] == 0xFD else zstandard.ZstdDecompressor().decompressobj()
+
+
+class Stream:
+    """Content of the compressed members that follow each other from a place of another stream on.
+
+    Each call unpacks anew.  ``end`` is where the last whole member ends, once a call is exhausted.
+    """
+
+    def __init__(self, source: Callable[[], Iterator[bytes]], place: int):
+        self.source, self.place, self.end = source, place, place + 1
+
+    def __call__(self) -> Iterator[bytes]:
+        machine, feed, at, skip = None, b"", self.place, self.place
+        for piece in self.source():
+            lo, skip = min(skip, len(piece)), max(0, skip - len(piece))
+            for lo in range(lo, len(piece), STEP):
+                fresh = piece[lo : lo + STEP]
+                feed, at = feed + fresh, at + len(fresh)
                 while feed:
-                    held += machine.decompress(feed, WINDOW)
-                    feed = machine.unconsumed_tail
-                    while len(held) > WINDOW:
-                        yield held[:WINDOW]
-                        held = held[WINDOW - OVERLAP :]
-            else:
-                for at in range(0, len(raw), 1024):
-                    held += machine.decompress(raw[at : at + 1024])
-                    while len(held) > WINDOW:
-                        yield held[:WINDOW]
-                        held = held[WINDOW - OVERLAP :]
-                    if getattr(machine, "eof", False):
-                        break
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, zstandard.ZstdError):
-            pass  # a damaged payload still yields what came before the damage
-        if held:
-            yield held
+                    if machine is None:
+                        if len(feed) < LONGEST_MAGIC:
+                            break  # more to come
+                        machine = _expander(feed)
+                        if machine is None:
+                            return
+                    try:
+                        out = machine.decompress(feed)
+                    except (zlib.error, OSError, lzma.LZMAError, EOFError, zstandard.ZstdError):
+                        return  # a damaged payload still yields what came before the damage
+                    if out:
+                        yield out
+                    feed = b""
+                    if machine.eof:
+                        feed, machine = machine.unused_data, None
+                        self.end = at - len(feed)
+
+
+def _windows(pieces: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a stream in overlapping windows."""
+    at, held = 0, bytearray()
+    for piece in pieces:
+        held += piece
+        while len(held) > WINDOW:
+            yield at, bytes(held[:WINDOW])
+            del held[: WINDOW - OVERLAP]
+            at += WINDOW - OVERLAP
+    if held:
+        yield at, bytes(held)
+
+
+def _parts(source: Callable[[], Iterator[bytes]], streams: set[bytes]) -> Iterator[str | Stream]:
+    """The windows of a stream as texts, then the streams that members anywhere in it expand to, unless seen before."""
+    whole, places, end = hashlib.blake2b(digest_size=16), [], 0
+    for at, window in _windows(source()):
+        whole.update(window[end - at :] if end else window)
+        end = at + len(window)
+        places += [at + m.start() for m in _MAGIC.finditer(window) if not places or at + m.start() > places[-1]]
+        yield window.decode("utf-8", "replace")
+    if whole.digest() in streams:
+        return
+    streams.add(whole.digest())
+    end = 0
+    for place in places:
+        if place >= end:
+            stream = Stream(source, place)
+            yield stream  # read to its end before the next is asked for
+            end = stream.end
+
+
+def _inside(raw: bytes) -> tuple[set[int], set[bytes]]:
+    """Kinds of secret in all that a payload holds, and the digests of its layers that are text or hold a secret.
+
+    Streams and layers are followed depth first, so one window a level is held.
+    """
+    kinds, texts, seen, streams, outer = set(), set(), set(), set(), True
+    stack: list[Iterator] = [_parts(lambda: iter([raw]), streams)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            continue
+        if isinstance(child, Stream):
+            stack.append(_parts(child, streams))
+            continue
+        if isinstance(child, Payload):
+            stack.append(_parts(lambda raw=child.raw: iter([raw]), streams))
+            continue
+        text = child if isinstance(child, str) else child.text
+        digest = _digest(text.encode("utf-8", "surrogatepass"))
+        if outer or not text or digest in seen:  # the payload's own bytes are not a layer
+            outer = False
+            continue
+        seen.add(digest)
+        found = {k for _, k, _ in base_spans(text)}
+        kinds |= found
+        # A window may begin and end within a character.
+        if found or not (_CONTROL.search(text) or "\ufffd" in text[3:-3]):
+            texts.add(digest)
+        stack.append(_children(Layer(text, Nowhere(), Nowhere())))
+    return kinds, texts
 
 
 def _as_text(raw: bytes) -> str | None:
@@ -117,13 +213,13 @@ def _as_text(raw: bytes) -> str | None:
     return None if _CONTROL.search(text) else text
 
 
-def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[tuple[bytes, int, int]]]:
+def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Payload]]:
     """The layer with each match replaced by its decoding, and compressed payloads among the matches."""
     out, lo, hi, last, packed = [], [], [], 0, []
     for m in pattern.finditer(layer.text):
         raw, pieces = decode(m[0])
-        if any(True for _ in _expanders(raw)):
-            packed.append((raw, layer.lo[m.start()], layer.hi[m.end() - 1]))
+        if _MAGIC.search(raw):
+            packed.append(Payload(raw, layer.lo[m.start()], layer.hi[m.end() - 1]))
         out.append(layer.text[last : m.start()])
         lo.extend(layer.lo[last : m.start()])
         hi.extend(layer.hi[last : m.start()])
@@ -169,7 +265,7 @@ def _decode_escapes(run: str) -> tuple[bytes, list[tuple[str, int, int]]]:
     return bytes(codes) if all(c < 256 for c in codes) else b"", pieces
 
 
-def _base64_children(layer: Layer) -> Iterator[Layer]:
+def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
@@ -178,12 +274,8 @@ def _base64_children(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        first, last = layer.lo[m.start()], layer.hi[m.end() - 1]
-        if any(True for _ in _expanders(raw)):
-            for part in _windows(raw):
-                if part and (text := _as_text(part) or (part.decode("utf-8", "replace") if len(part) >= WINDOW else None)):
-                    yield Layer(text, [first] * len(text), [last] * len(text))
-            continue
+        if packed := _MAGIC.search(raw):
+            yield Payload(raw[packed.start() :], layer.lo[m.start() + packed.start() * 4 // 3], layer.hi[m.end() - 1])
         text = _as_text(raw)
         if text is not None:
             lo, hi, at, end = [], [], 0, m.end() - 1
@@ -195,16 +287,13 @@ def _base64_children(layer: Layer) -> Iterator[Layer]:
             yield Layer(text, lo, hi)
 
 
-def _children(layer: Layer) -> Iterator[Layer]:
+def _children(layer: Layer) -> Iterator[Layer | Payload]:
     for pattern, mark, decode in ((_PERCENT, "%", _decode_percent), (_ESCAPE, "\\", _decode_escapes)):
         if mark in layer.text:
             child, packed = _rewritten(layer, pattern, decode)
             if child:
                 yield child
-            for raw, first, last in packed:
-                for part in _windows(raw):
-                    if text := _as_text(part):
-                        yield Layer(text, [first] * len(text), [last] * len(text))
+            yield from packed
     yield from _base64_children(layer)
 
 
@@ -214,12 +303,19 @@ def _digest(content: bytes) -> bytes:
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (both as (start, kind, end) of the root text) and the number of distinct layers."""
-    base = base_spans(text)
+    base, inside = base_spans(text), {}
     spans, texts, seen = set(base), {_digest(text.encode("utf-8", "surrogatepass"))}, set()
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     while work:
         layer = work.pop()
         for child in _children(layer):
+            if isinstance(child, Payload):
+                key = _digest(child.raw)
+                if key not in inside:
+                    inside[key] = _inside(child.raw)
+                spans.update((child.first, k, child.last) for k in inside[key][0])
+                texts |= inside[key][1]
+                continue
             if not child.text:
                 continue
             # The text and the characters it stands for decide all that is found below.

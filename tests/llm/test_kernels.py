@@ -112,6 +112,35 @@ def test_every_copy_of_a_blob_is_found(pack):
     assert clean.count("[secret]") == 3 and blob not in clean and layers < 8
 
 
+def zstd(raw):
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(raw)
+
+
+SECRET = b"some words, then password = hunter2hunter2 and the rest"
+
+
+@pytest.mark.parametrize("payload", [
+    gzip.compress(zlib.compress(SECRET)), gzip.compress(gzip.compress(bz2.compress(SECRET))), zstd(lzma.compress(SECRET)), zstd(SECRET), gzip.compress(b"first") + gzip.compress(SECRET), bz2.compress(b"first") + bz2.compress(SECRET),
+    lzma.compress(b"first") + lzma.compress(SECRET), zlib.compress(b"first") + zlib.compress(SECRET), zstd(b"first") + zstd(SECRET), gzip.compress(SECRET[:25]) + gzip.compress(SECRET[25:]), gzip.compress(SECRET)[:-4] + b"oops",
+    gzip.compress(bytes(9 << 20) + gzip.compress(SECRET)), gzip.compress(b"caf\xe9 " + SECRET), gzip.compress(base64.b64encode(zlib.compress(SECRET))),
+], ids=range(14))
+def test_payloads_are_unpacked_to_the_end(payload):
+    text = f"before {base64.b64encode(payload).decode()} after"
+    assert secrets.redact_text(text) == "before [secret] after"
+
+
+def test_windows_may_cut_a_character(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    for shift in range(3):
+        content = b"x" * shift + "漢".encode() * 900 + SECRET
+        for inner in (content, gzip.compress(content + random.Random(1).randbytes(3000))):
+            text = base64.b64encode(gzip.compress(inner)).decode()
+            assert secrets.redact_text(text) == "[secret]"
+
+
 def test_cycles_and_plain_text():
     assert secrets.scan_text("%2525252525") [2] < 8
     assert secrets.scan_text("") == ([], [], 1)
