@@ -240,6 +240,27 @@ def test_block_need_and_sketch_never_lose_a_link():
                 assert jaccard_join.shared_bound(x, y) >= shared and shared >= t.overlap(len(a), len(b))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_linked_pairs_have_their_needs(percent):
+    """Each pair alone in a corpus: some class gives both documents as many common keys as they need."""
+    rng, t, sets = np.random.default_rng(1), jaccard_join.Threshold(percent), []
+    for n in [n for n in range(8, 31) for _ in range(2000)]:
+        m = int(rng.integers(n, t.partners(n)[-1] + 1))
+        shared = int(rng.integers(t.overlap(n, m), n + 1))
+        drawn = rng.integers(0, 1 << 62, n + m - shared).astype(np.uint64)
+        sets += [np.unique(drawn[:n]), np.unique(drawn[n - shared :])]
+    keys, owner, need = jaccard_join.block_keys(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), percent)
+    order = np.lexsort((owner, keys, owner // 2))
+    keys, owner, need = keys[order], owner[order], need[order]
+    pair, kind = owner // 2, (keys & np.uint64(63)).astype(np.int64)
+    group = pair * 64 + kind
+    most, common = np.zeros(32 * len(sets), np.int64), np.zeros(32 * len(sets), np.int64)
+    np.maximum.at(most, group, need)
+    np.add.at(common, group[1:][(keys[1:] == keys[:-1]) & (pair[1:] == pair[:-1])], 1)
+    met = ((common >= most) & (common > 0)).reshape(-1, 64).any(1)
+    assert met.all(), f"{(~met).sum()} of {len(met)} pairs"
+
+
 def test_light_subsets_are_links():
     t = jaccard_join.Threshold(90)
     rng = random.Random(3)
