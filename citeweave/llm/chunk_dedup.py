@@ -5,8 +5,9 @@ no other such place lies within ``LEAST`` bytes before it.  Both conditions
 look only at nearby bytes, so an insertion moves boundaries only next to it.
 Stretches of over ``MOST`` bytes without a boundary are cut at least hashes.
 Chunks are deduplicated by digest; consecutive chunks of a document that also
-occur in another document form a repeated span, reported from ``MIN_WORDS`` on
-(a passage loses up to a chunk at each end).
+occur in another document form a repeated stretch, reported from ``MIN_WORDS``
+on (a passage loses up to a chunk at each end), in one span for each run of
+chunks that have the same first holder.
 
 Offsets are in UTF-8 bytes.  A null text counts as empty and an empty text has
 no chunks.  A row without a key takes no part.  Repeated rows (same key, same
@@ -118,11 +119,12 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per stretch of chunks that other documents have too.
+    """One row per stretch of chunks that other documents have too, broken where the least document that has them changes.
 
     doc_id, start, end, n_words, n_chunks, first_doc_id (least document that has
-    its first chunk), n_docs (least number of documents over its chunks), kept
-    (whether this document is that first one).
+    each of its chunks), n_copies (least number of copies over its chunks), kept
+    (whether this document is that first one).  ``min_words`` holds for the
+    stretch as a whole, before it is broken.
     """
     store = Store(docs.sparkSession, "chunks")
     all_chunks = chunks(docs)
@@ -133,8 +135,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = Window.partitionBy("doc_id", "text_digest").orderBy("chunk")
     island = hits.withColumn("island", F.col("chunk") - F.dense_rank().over(order))
     one = island.groupBy("doc_id", "text_digest", "island", "chunk").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"), F.min("copies").alias("copies"))
-    spans = one.groupBy("doc_id", "text_digest", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_doc_id", "chunk").alias("first_doc_id"), F.min("copies").alias("n_copies"))
-    return spans.filter(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", "n_copies", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
+    stretch = ["doc_id", "text_digest", "island"]
+    long = one.withColumn("all_words", F.sum("words").over(Window.partitionBy(*stretch))).filter(F.col("all_words") >= min_words)
+    part = long.withColumn("part", F.col("chunk") - F.row_number().over(Window.partitionBy(*stretch, "first_doc_id").orderBy("chunk")))
+    spans = part.groupBy(*stretch, "first_doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("copies").alias("n_copies"))
+    return spans.select("doc_id", "start", "end", "n_words", "n_chunks", "first_doc_id", "n_copies", (F.col("doc_id") == F.col("first_doc_id")).alias("kept"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,6 +231,22 @@ def test_substrings(spark, docs, none):
     assert found == set(range(60))
 
 
+def test_copies_behind_a_common_line_keep_one_body(spark):
+    import random
+
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    line, body = fresh(40), fresh(200)
+    texts = {1: line + " " + fresh(50), 5: line + " " + body, 9: line + " " + body}
+    got = chunk_dedup.repeated_spans(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id, r.kept) for r in got} == {(1, 1, True), (5, 1, False), (5, 5, True), (9, 1, False), (9, 5, False)}
+    left = {d: bytearray(t.encode()) for d, t in texts.items()}
+    for r in sorted(got, key=lambda r: -r.start):
+        if not r.kept:
+            del left[r.doc_id][r.start : r.end]
+    assert body[40:-40] in left[5].decode() and not left[9] and line[:-40] in left[1].decode()
+
+
 def rank_auc(rows, truth):
     rows = sorted((r for r in rows if r.held_out and r.doc_id in truth), key=lambda r: r.score)
     ones = [i for i, r in enumerate(rows) if truth[r.doc_id]]
