@@ -2,7 +2,9 @@
 
 Each text is a layer.  A layer is scanned for secrets, then every encoded part
 of it is unwrapped into a child layer: percent and Unicode escapes are undone
-over the whole layer, base64 runs and compressed payloads one by one.  Children
+over the whole layer, base64 runs and compressed payloads one by one.  A base64
+run is decoded from each of its first four characters on, whatever else its
+bytes hold.  Children
 join the worklist until nothing new appears; a layer with the same content for
 the same characters of the document is not entered again, which ends cycles,
 while the same content elsewhere is.  Spans found in a child are mapped back to
@@ -20,7 +22,6 @@ whatever they expand to.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -49,7 +50,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Lines of a wrapped run are one run; only its last line may be short.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+_BREAKS = "\r\n \t"
+_PLAIN_BASE64 = str.maketrans("-_", "+/", _BREAKS)
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 LONGEST_MAGIC = 6
@@ -68,11 +72,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """Decoded text; character i stands for characters lo(i) to hi(i) of the root."""
+    """Decoded text; character i stands for characters lo(i) to hi(i) of the root.
+
+    What is not ``plain`` text has damaged bytes or control characters, and counts as a layer only if it holds a secret.
+    """
 
     text: str
     lo: Iterable[int] | range
     hi: Iterable[int] | range
+    plain: bool = True
 
 
 class Nowhere:
@@ -266,25 +274,29 @@ def _decode_escapes(run: str) -> tuple[bytes, list[tuple[str, int, int]]]:
 
 
 def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
+    """What each base64 run decodes to from its first four characters on, as a word before a blob may be glued to it."""
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if packed := _MAGIC.search(raw):
-            yield Payload(raw[packed.start() :], layer.lo[m.start() + packed.start() * 4 // 3], layer.hi[m.end() - 1])
-        text = _as_text(raw)
-        if text is not None:
-            lo, hi, at, end = [], [], 0, m.end() - 1
+        place = [m.start() + i for i, ch in enumerate(run) if ch not in _BREAKS] if "\n" in run else range(m.start(), m.end())
+        run, end = run.translate(_PLAIN_BASE64), m.end() - 1
+        for skip in range(4):
+            part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            if packed := _MAGIC.search(raw):
+                yield Payload(raw[packed.start() :], layer.lo[place[skip + packed.start() * 4 // 3]], layer.hi[end])
+            text, plain = _as_text(raw), True
+            if text is None:
+                text, plain = raw.decode("latin-1"), False
+                if not (base_spans(text) or any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64))):
+                    continue
+            lo, hi, at = [], [], 0
             for ch in text:
-                size = len(ch.encode("utf-8"))
-                lo.append(layer.lo[m.start() + at * 4 // 3])
-                hi.append(layer.hi[min(end, m.start() + (at + size) * 4 // 3)])
+                size = len(ch.encode("utf-8")) if plain else 1
+                after = skip + (at + size) * 4 // 3
+                lo.append(layer.lo[place[skip + at * 4 // 3]])
+                hi.append(layer.hi[place[after] if after < len(place) else end])
                 at += size
-            yield Layer(text, lo, hi)
+            yield Layer(text, lo, hi, plain)
 
 
 def _children(layer: Layer) -> Iterator[Layer | Payload]:
@@ -302,7 +314,7 @@ def _digest(content: bytes) -> bytes:
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans (both as (start, kind, end) of the root text) and the number of distinct layers."""
+    """Base spans, all spans (both as (start, kind, end) of the root text) and the number of distinct layers that are text or hold a secret."""
     base, inside = base_spans(text), {}
     spans, texts, seen = set(base), {_digest(text.encode("utf-8", "surrogatepass"))}, set()
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
@@ -324,8 +336,10 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
             if state in seen:
                 continue
             seen.add(state)
-            texts.add(digest)
-            spans.update((child.lo[a], k, child.hi[b - 1]) for a, k, b in base_spans(child.text))
+            found = base_spans(child.text)
+            if found or child.plain:
+                texts.add(digest)
+            spans.update((child.lo[a], k, child.hi[b - 1]) for a, k, b in found)
             work.append(child)
     return base, sorted(spans), len(texts)
 

@@ -141,6 +141,36 @@ def test_windows_may_cut_a_character(monkeypatch):
             assert secrets.redact_text(text) == "[secret]"
 
 
+def wrapped(raw, width=76, line="\n"):
+    blob = base64.b64encode(raw).decode()
+    return line.join(blob[i : i + width] for i in range(0, len(blob), width))
+
+
+@pytest.mark.parametrize("raw", [SECRET, gzip.compress(SECRET), zlib.compress(SECRET)], ids=["plain", "gzip", "zlib"])
+@pytest.mark.parametrize("glue", ["https://host/cb/", "Bearer-", "key_", "ab", "abc", "a-very-long-word-before-it-", ""])
+def test_glued_blobs_are_found(glue, raw):
+    text = f"see {glue}{base64.urlsafe_b64encode(raw).decode()} there"
+    clean = secrets.redact_text(text)
+    assert "[secret]" in clean and clean.startswith(f"see {glue[:-1]}") and "cGFzc3dvcmQg" not in clean and clean.endswith(" there")
+    assert secrets.scan_text(text)[2] < 4
+
+
+@pytest.mark.parametrize("odd", [b"\0", b"\x1b[0m", b"\xe9", b"\xff\xfe"], ids=range(4))
+def test_odd_bytes_hide_nothing(odd):
+    for raw in (odd + SECRET, SECRET + odd, odd + base64.b64encode(SECRET)):
+        assert "[secret]" in secrets.redact_text(base64.b64encode(raw).decode())
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+def test_wrapped_blobs_are_one(line):
+    for lead in range(50, 62):
+        text = "head: " + wrapped(b"w " * (lead // 2) + b"w" * (lead % 2) + b" token = abcdefghijklmnopqrstuvwxyz0123 and more" * 2, 76, line) + "\ntail"
+        clean = secrets.redact_text(text)
+        assert clean.count("[secret]") == 2 and clean.startswith("head: dyB3IHcg") and "abcdef" not in "".join(c.text for c in secrets._base64_children(secrets.Layer(clean, range(len(clean)), range(len(clean)))) if isinstance(c, secrets.Layer))
+    packed = wrapped(lzma.compress(random.Random(1).randbytes(300) + SECRET), 64, line)
+    assert secrets.redact_text(f"x {packed}") == "x [secret]"
+
+
 def test_cycles_and_plain_text():
     assert secrets.scan_text("%2525252525") [2] < 8
     assert secrets.scan_text("") == ([], [], 1)
