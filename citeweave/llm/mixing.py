@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import Store
 from .tables import read_table
@@ -162,21 +163,22 @@ def _slots(spark: SparkSession, plans: list[SourcePlan], seed: int) -> DataFrame
 
 @dataclass
 class Mix:
-    """A planned mix: streams of documents, drawn stretches, and the sources' plans."""
+    """A planned mix: streams of documents, drawn stretches, the sources' plans, and (row_id, row) of whole rows if asked for."""
 
     streams: DataFrame
     drawn: DataFrame
     plans: list[SourcePlan]
+    rows: DataFrame | None = None
 
 
-def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
+def plan_mix(docs: DataFrame, seed: int = SEED, keep_rows: bool = False) -> Mix:
     """Lay out the streams, plan the sources and join slots with blocks.
 
     ``streams``: row_id, doc_id, source, size, src, start (words before it in its source).
     ``drawn``: row_id, slot, shard, lo, hi: words lo to hi of the document are taken by that slot.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "mixing")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if keep_rows else []))
     order = [F.col("source").asc_nulls_last(), F.col("doc_id")]
     placed = narrow.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_id", F.monotonically_increasing_id())
 
@@ -191,7 +193,10 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
                 before += size
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], [*b.schema.names, "local_start"])
 
-    placed = store.put(placed.mapInArrow(running, "doc_id long, source string, size long, row_id long, local_start long"), "placed")
+    # Whole rows are written beside their row_id, which no second reading of the documents would give again.
+    placed = store.put(placed.mapInArrow(running, StructType([*placed.schema, StructField("local_start", LongType())])), "placed")
+    rows = placed.select("row_id", "row") if keep_rows else None
+    placed = placed.drop("row")
     # A partition is a stretch of the source order, so there are at most partitions + sources sums.
     sums = placed.groupBy(F.shiftright("row_id", 33).alias("part"), "source").agg(F.sum("size").alias("words")).collect()
     names = sorted({r.source for r in sums}, key=lambda s: (s is None, s or ""))
@@ -212,7 +217,7 @@ def plan_mix(docs: DataFrame, seed: int = SEED) -> Mix:
     lo = F.greatest(F.col("start"), F.col("block") * n)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * n + F.col("words"))
     drawn = joined.filter(hi > lo).select("row_id", "slot", "shard", (lo - F.col("start")).alias("lo"), (hi - F.col("start")).alias("hi"))
-    return Mix(streams, drawn, plans)
+    return Mix(streams, drawn, plans, rows)
 
 
 def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -228,16 +233,16 @@ def taken_words(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Documents with ``text`` replaced by the words drawn from it, pass after pass; undrawn documents go.
 
-    Documents are matched by ``doc_id``, which must be unique here.
+    Rows are matched by ``row_id``, so null and repeated keys keep what was drawn of each.
     """
-    mix = plan_mix(docs, seed)
+    mix = plan_mix(docs, seed, keep_rows=True)
     stretch = F.array_sort(F.collect_list(F.struct("slot", "lo", "hi"))).alias("_taken")
-    picked = mix.drawn.groupBy("row_id").agg(stretch).join(mix.streams.select("row_id", "doc_id"), "row_id").select("doc_id", "_taken")
+    picked = mix.drawn.groupBy("row_id").agg(stretch)
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     # Passes are ordered by slot only across passes; within one, stretches return to reading order.
     ordered = F.expr("array_sort(transform(_taken, t -> struct(t.lo as lo, t.slot as slot, t.hi as hi)))")
     once = F.expr("transform(filter(_o, (t, i) -> true), t -> array_join(slice(_w, int(t.lo) + 1, int(t.hi - t.lo)), ' '))")
-    joined = docs.join(picked, "doc_id").withColumn("_w", words).withColumn("_o", ordered)
+    joined = mix.rows.join(picked, "row_id").select("row.*", "_taken").withColumn("_w", words).withColumn("_o", ordered)
     text = F.array_join(once, " ")
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -136,6 +136,20 @@ def test_mixing(spark, docs, none, texts):
     assert mixed == {d: n for d, n in again.items() if n}
 
 
+def test_mixed_rows_keep_what_was_drawn_of_them(spark, docs, none):
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    got, want = Counter(), Counter()
+    for r in mixed.collect():
+        assert r.n_chars == len(r.text)
+        got[r.doc_id, words(r.text)] += 1
+    for r in mixing.taken_words(docs).collect():
+        if r.taken:
+            want[r.doc_id, r.taken] += 1
+    assert got == want and any(d is None for d, _ in got)
+
+
 def brute_components(texts, size, percent):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
