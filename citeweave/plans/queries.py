@@ -298,7 +298,7 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in ten clusters, renumbered by size."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return topics.renumber(topics.kmeans(vectors, 10, restarts=3)).select("doc", "cluster_id")
+    return topics.renumber(topics.kmeans(vectors, 10)).select("doc", "cluster_id")
 
 
 @query

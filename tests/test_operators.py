@@ -223,3 +223,11 @@ def test_cache_and_retries(tmp_path):
 def test_settings():
     s = settings_from_env("X_", {"X_POOL_CAP": "7", "X_GATE_THRESHOLD": "bad", "X_SOURCES": "a, b", "X_INCREMENTAL": "yes"})
     assert (s.pool_cap, s.gate_threshold, s.sources, s.incremental) == (7, 0.10, ("a", "b"), True)
+
+
+def test_registered_kmeans_takes_all_restarts(spark, monkeypatch):
+    from citeweave.plans.queries import REGISTRY
+
+    seen, real = [], topics.kmeans
+    monkeypatch.setattr(topics, "kmeans", lambda v, k, restarts=topics.RESTARTS: seen.append(restarts) or real(v, k, 1))
+    assert REGISTRY["topic_kmeans"](spark, "/root/testdata/sf0.001").count() > 0 and seen == [10]
