@@ -171,6 +171,43 @@ def test_wrapped_blobs_are_one(line):
     assert secrets.redact_text(f"x {packed}") == "x [secret]"
 
 
+#: Every layer by itself: text to text, or (packed) bytes to bytes.
+WRITTEN = {
+    "percent": lambda t: "".join(f"%{b:02x}" for b in t.encode()), "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "hex": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+    "base64": lambda t: base64.b64encode(t.encode()).decode(), "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), "wrapped": lambda t: wrapped(t.encode()),
+}
+PACKED = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": lambda raw: zstd(raw)}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from([*WRITTEN, *PACKED]), min_size=1, max_size=4), st.integers(0, 30))
+def test_any_nesting_is_unwrapped(layers, lead):
+    content: str | bytes = "w " * lead + "password = hunter2hunter2 and more words"
+    for name in layers:
+        if name in PACKED:
+            content = PACKED[name](content.encode() if isinstance(content, str) else content)
+        elif isinstance(content, bytes):  # compressed bytes enter a text by base64 only
+            content = wrapped(content) if name == "wrapped" else base64.b64encode(content).decode()
+        else:
+            content = WRITTEN[name](content)
+    blob = base64.b64encode(content).decode() if isinstance(content, bytes) else content
+    text = f"before: {blob} after"
+    spans = secrets.scan_text(text)[1]
+    assert any(k == 0 and 8 <= a < b <= 8 + len(blob) for a, k, b in spans)
+    assert secrets.redact_text(text).startswith("before: ") and secrets.redact_text(text).endswith(" after")
+
+
+@pytest.mark.parametrize("shift", range(4))
+def test_texts_beyond_a_window_keep_their_secrets(shift):
+    """More than 8 MiB of three-byte characters, cut anywhere within one, with secrets early, late and across the window's end."""
+    body = "漢".encode() * 2_800_000
+    for at in (0, secrets.WINDOW - 20 - shift, len(body)):
+        at -= at % 3
+        raw = b"x" * shift + body[:at] + b" " + SECRET + b" " + body[at:]
+        text = f"see {base64.b64encode(gzip.compress(raw, 1)).decode()} there"
+        assert secrets.redact_text(text) == "see [secret] there"
+
+
 def test_cycles_and_plain_text():
     assert secrets.scan_text("%2525252525") [2] < 8
     assert secrets.scan_text("") == ([], [], 1)
@@ -232,13 +269,67 @@ def test_dual_search_is_exact(n, q, spread, seed):
     data = rng.integers(-spread, spread + 1, (n, 4)) + 40 * rng.integers(0, 3, (n, 1))
     ids = rng.permutation(n * 2)[:n]
     pick = rng.integers(0, n, q)
-    top = cover_tree.dual_search(data[pick], ids[pick], data, ids, np.full(q, -np.inf), 5)
+    top = cover_tree.dual_search(data[pick], ids[pick], data, ids, np.full(q, cover_tree.NONE), 5)
     for row, p in enumerate(pick):
         want = sorted((-int(data[p] @ data[j]), int(ids[j])) for j in range(n) if ids[j] != ids[p])[:5]
         got = [(-int(s), int(i)) for s, i in zip(top.score[row], top.id[row], strict=True) if s != np.iinfo(np.int64).min]
         assert got == want
 
 
+def best_by_definition(queries, data, k):
+    scores = queries @ data.T
+    place = np.lexsort((np.broadcast_to(np.arange(len(data)), scores.shape), ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, place, 1), place
+
+
+def clustered(rng, n, clusters, width, spread):
+    centre = rng.normal(size=(clusters, width))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    points = centre[rng.integers(clusters, size=n)] + spread * rng.normal(size=(n, width))
+    return np.floor(1024 * points).astype(np.int64)
+
+
+def depth(node):
+    return 1 + max(map(depth, node.children), default=0)
+
+
+@pytest.mark.parametrize(("clusters", "width", "spread"), [(400, 64, 0.01), (2000, 64, 0.01), (100, 64, 0.05), (400, 8, 0.02)])
+def test_dual_search_prunes_clusters(clusters, width, spread):
+    """At most half of all pairs are scored or bounded."""
+    x = clustered(np.random.default_rng(1), 8400, clusters, width, spread)
+    queries, data = x[:400], x[400:]
+    top = cover_tree.dual_search(queries, np.arange(10**6, 10**6 + 400), data, np.arange(8000), np.full(400, cover_tree.NONE))
+    score, place = best_by_definition(queries, data, 10)
+    assert (top.score == score).all() and (top.id == place).all()
+    assert (top.scored + top.bounded) / (400 * 8000) < 0.5
+    assert depth(cover_tree.build_tree(data.astype(np.float64))) > 1
+
+
+def test_query_tree_splits_clusters():
+    x = clustered(np.random.default_rng(2), 400, 8, 64, 0.01)
+    tree = cover_tree.build_tree(x.astype(np.float64), cover_tree.QUERY_LEAF)
+    assert depth(tree) > 1 and sorted(np.concatenate([c.places for c in tree.children]).tolist()) == list(range(400))
+    leaves = lambda node: [x for c in node.children for x in leaves(c)] or [node]
+    assert len(leaves(tree)) >= 8 and max(leaf.radius for leaf in leaves(tree)) < tree.radius / 2
+
+
+def test_scores_beyond_doubles_are_ordered():
+    big = 1 << 29
+    data = np.array([[big, 1], [big, 2], [big, 0]]) * np.array([4, 1])
+    top = cover_tree.dual_search(np.array([[big * 4, 1]]), np.array([9]), data, np.arange(3), np.array([cover_tree.NONE]), 3)
+    assert top.id.tolist() == [[1, 0, 2]] and top.score[0, 0] - top.score[0, 1] == 1
+
+
+def test_trees_of_copies_and_lines():
+    for x in (np.zeros((500, 3)), np.ones((500, 3)), np.vstack([np.zeros((400, 3)), np.ones((1, 3))]), np.arange(900.0)[:, None], 2.0 ** np.arange(200)[:, None]):
+        work = [cover_tree.build_tree(x)]
+        while work:
+            node = work.pop()
+            assert np.sqrt(((x[node.places] - node.centre) ** 2).sum(1)).max() <= node.radius
+            assert not node.children or sorted(np.concatenate([c.places for c in node.children])) == sorted(node.places)
+            work += node.children
+
+
 def test_shingles_by_definition():
     texts = [b"A b c a b c", b"x", b"", b" \n", b"p q", "É é b".encode(), b"a b c"]
     hashes, offset = shingles(words_of(texts), len(texts), 3)
