@@ -248,6 +248,7 @@ def test_permutation(n):
     p = mixing.permuted(np.arange(n), n, 5)
     assert sorted(p) == list(range(n))
     assert n < 10 or (p != mixing.permuted(np.arange(n), n, 6)).any()
+    assert mixing.permuted(p, n, 5, inverse=True).tolist() == list(range(n))
 
 
 def test_targets_and_draws():
@@ -262,6 +263,28 @@ def test_targets_and_draws():
     assert counts.sum(0).tolist() == [500, 30, 0, 1] and np.ptp(counts.sum(1)) <= 1
 
 
+def test_plans_of_very_many_slots():
+    """5 * 10^13 words are 10^11 blocks: planned without listing them, counted without the generator's limit."""
+    words = 512 * 10**11 - 300
+    plans = [mixing.plan_source(w, t, i) for i, (w, t) in enumerate([(words, 1.7 * words), (words // 3, 0.6 * words), (5000, 9000.0)])]
+    for p in plans:
+        assert 0 < p.last_words <= 512 and (p.draws - 1) * 512 - 2 * 511 + p.last_words <= p.goal <= p.draws * 512
+    counts = mixing.shard_counts([p.draws for p in plans], 64)
+    assert counts.sum(0).tolist() == [p.draws for p in plans] and np.ptp(counts.sum(1)) <= 1 and (counts >= 0).all()
+    share = plans[0].draws / sum(p.draws for p in plans)
+    assert (np.abs(counts[:, 0] / counts.sum(1) - share) < 1e-3).all() and len(set(counts[:, 0].tolist())) > 32
+
+
+def test_large_hypergeometric_draws_have_the_right_spread():
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((10**9, 3 * 10**9, 4000), (2 * 10**9, 40, 10**9), (5000, 2 * 10**9, 10**9), (10**12, 10**12, 10**12)):
+        x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(300 if n < 10**10 else 60)], float)
+        share = good / (good + bad)
+        mean, var = n * share, n * share * (1 - share) * (good + bad - n) / (good + bad - 1)
+        assert abs(x.mean() - mean) < 5 * np.sqrt(var / len(x)) + 1e-9 * mean and 0.5 * var < x.var() < 1.8 * var
+    assert mixing.hypergeometric(rng, 0, 2 * 10**9, 5) == 0 and mixing.hypergeometric(rng, 2 * 10**9, 0, 5) == 5
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(1, 300), st.integers(1, 40), st.integers(1, 20), st.integers(0, 3))
 def test_dual_search_is_exact(n, q, spread, seed):

@@ -1,6 +1,7 @@
 """Operators on Spark: edge cases, brute force, recoveries of order and structure."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -150,6 +151,45 @@ def test_mixed_rows_keep_what_was_drawn_of_them(spark, docs, none):
     assert got == want and any(d is None for d, _ in got)
 
 
+def test_mixed_texts_are_stretches_of_the_texts(spark):
+    """Line breaks stay, names may clash, null and repeated keys keep their own words, and a text taken whole once is untouched."""
+    code = "def f():\n    return 1\n\n"
+    long = "\n".join(f"w{i}\t x{i}" for i in range(3000))
+    texts = [(1, code), (None, "no key\nat all"), (2, "one text\nof two"), (2, "another\r\ntext"), (2, "another\r\ntext"), (3, long), (4, None), (5, " \n"), (None, "  second\nwithout key ")]
+    rows = [(d, t, s, "x", i, [i], "y") for s in ("a", "b", None) for i, (d, t) in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _w string, _o int, _taken array<int>, row string").withColumn("size", F.lit(7)).withColumn("taken", F.lit("z")).withColumn("src", F.lit(1)).withColumn("row_id", F.lit(2.5))
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    whole, parts, got = 0, 0, mixed.collect()
+    for r in got:
+        source = texts[r._o][1]
+        assert r._taken == [r._o] and (r._w, r.row, r.size, r.taken, r.src, r.row_id) == ("x", "y", 7, "z", 1, 2.5)
+        left = r.text
+        if left == source:
+            whole += 1
+            continue
+        parts += 1
+        words = word.findall(source)
+        while left:  # every line but those of the text itself begins a stretch
+            first = words.index(word.search(left)[0])
+            at = next(m.start() for i, m in enumerate(word.finditer(source)) if i == first)
+            n = max(len(x) for x in [source[at : at + k] for k in range(1, len(source) - at + 1)] if left.startswith(x)) if len(source) < 200 else len(os.path.commonprefix([left, source[at:]]))
+            left = left[n:].lstrip("\n")
+    assert whole and parts and max(Counter(r.doc_id for r in got).values()) > 1
+    want = Counter((r.doc_id, r.taken) for r in mixing.taken_words(frame).collect() if r.taken)
+    assert Counter((r.doc_id, len(word.findall(r.text))) for r in got) == want
+
+
+def test_mixing_reruns_agree_on_repeated_keys(spark):
+    rows = [(i % 3, f"{'t' * (i % 5 + 1)} " * (400 * (i % 7 + 1)), "a") for i in range(60)]
+    runs = []
+    for parts in (1, 5, 3):
+        frame = spark.createDataFrame(rows[::-1] if parts == 5 else rows, "doc_id long, text string, source string").repartition(parts)
+        runs.append(sorted((r.doc_id, r.text) for r in mixing.mixed_documents(frame).collect()))
+    assert runs[0] == runs[1] == runs[2]
+
+
 def brute_components(texts, size, percent):
     table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
