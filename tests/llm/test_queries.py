@@ -257,6 +257,27 @@ def test_jaccard_edges(spark, docs, texts):
     assert {r.doc_id for r in jaccard_join.keep_one_per_group(docs).collect()} == {1, 4, 5, 6, 7, None, 9}
 
 
+def test_rows_that_share_a_key_are_documents(spark):
+    """Repeated keys with unrelated, linked and equal texts; names that clash with the operator's own."""
+    texts = list(near_texts().values())
+    one, two, three = texts[40], texts[50], texts[60]
+    rows = [(7, one), (7, two), (7, three), (7, one), (3, two + " tail"), (9, three), (9, ""), (9, ""), (9, None), (None, one), (None, one), (11, texts[70]), (12, texts[70])] + [(-5, t) for t in texts[:9]]
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, i int").withColumn("node", F.lit("x")).withColumn("rep", F.lit(1)).withColumn("text_hash", F.lit(2)).withColumn("component", F.lit(None).cast("int")).withColumn("copies", F.col("i"))
+    number = {i: t for i, (d, t) in enumerate(rows) if d is not None}
+    want = brute_components(number, 3, 90)
+    group = lambda i: {j for j in number if want[j][1] == want[i][1]}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.linked_components(frame).collect())
+    expected = Counter((rows[i][0], want[i][0], min(rows[j][0] for j in group(i)) if want[i][0] else rows[i][0]) for i in number)
+    assert got == expected + Counter({(None, want[0][0], None): 2})
+    kept = jaccard_join.keep_one_per_group(frame)
+    assert kept.columns == frame.columns
+    kept = kept.collect()
+    assert all((r.node, r.rep, r.text_hash, r.component, r.copies) == ("x", 1, 2, None, r.i) for r in kept)
+    assert Counter(want[r.i][1] for r in kept if r.doc_id is not None and want[r.i][0]) == Counter({want[i][1]: 1 for i in number if want[i][0]})
+    assert all(r.doc_id == min(rows[j][0] for j in group(r.i)) for r in kept if r.doc_id is not None)
+    assert Counter((r.doc_id, r.text) for r in kept if not r.text or r.doc_id is None) == Counter({(9, ""): 1, (9, None): 1, (None, one): 2})
+
+
 def test_top_k(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
