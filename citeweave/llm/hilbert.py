@@ -4,10 +4,15 @@ Rows are sorted by the index of their cell on a Hilbert curve and the order is
 cut into runs of equal row counts (the ``rows`` law), so each run covers a
 compact region and its minima and maxima prune files on every dimension.
 
-Nulls: a null text counts as no bytes, null metadata shares one cell, a null
-key sorts first.  Ties on the curve are broken by the text's CRC (so equal
-texts with equal metadata lie side by side) and then by the key; repeated rows
-each get their own slot.  Empty tables give empty results.
+Documents with equal texts form a group.  A group takes the cell of its least
+member and lies in one piece of the order, so only a group that meets the end
+of a run is cut, and only as often as it is longer than a run.
+
+Nulls: a null text counts as no bytes (and is no empty text), null metadata
+shares one cell, a null key sorts first.  Ties on the curve are broken by the
+text's hashes and then by the key; repeated rows each get their own slot; very
+long texts are rows like others.  Empty tables give empty results; other columns
+are dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from ..storage import Store
 from .tables import read_table
 
 BITS = 10
+#: Groups of at least one row in so many have their cells broadcast: there are no more of them than that.
+HEAVY = 1000
 #: monotonically_increasing_id keeps the partition above this many bits.
 _LOCAL_BITS = 33
 
@@ -103,12 +110,23 @@ def shard_by_curve(docs: DataFrame, shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    store, text = Store(spark, "hilbert"), ["size", "text_crc32", "text_hash"]
     narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
-        quantise_size(size).alias("cell_size"), quantise_category(F.col("lang")).alias("cell_lang"), quantise_category(F.col("source")).alias("cell_source"),
+        F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64(F.col("text").isNull(), "text").alias("text_hash"),
+        quantise_category(F.col("lang")).alias("cell_lang"), quantise_category(F.col("source")).alias("cell_source"),
     )
-    indexed = with_hilbert_index(narrow, ["cell_source", "cell_lang", "cell_size"])
-    rows, total = ranked(indexed, ["curve_index", "text_crc32", "doc_id"], Store(spark, "hilbert"))
+    narrow = store.put(narrow, "narrow")
+    least = F.min(F.struct("doc_id", "cell_lang", "cell_source"))
+    groups = store.put(narrow.groupBy(*text).agg(F.count(F.lit(1)).alias("members"), least.alias("least")).filter("members > 1").select(*text, "members", "least.cell_lang", "least.cell_source"), "groups")
+    large = F.col("members") * HEAVY >= narrow.count()
+    bare = narrow.drop("cell_lang", "cell_source")
+    heavy = F.broadcast(groups.filter(large).drop("members"))
+    rest = narrow.join(heavy.select(*text), text, "left_anti")
+    light = groups.filter(~large).select(*text, F.col("cell_lang").alias("group_lang"), F.col("cell_source").alias("group_source"))
+    rest = rest.join(light, text, "left").withColumn("cell_lang", F.coalesce("group_lang", "cell_lang")).withColumn("cell_source", F.coalesce("group_source", "cell_source"))
+    placed = bare.join(heavy, text).unionByName(rest.drop("group_lang", "group_source")).withColumn("cell_size", quantise_size(F.col("size")))
+    indexed = with_hilbert_index(placed, ["cell_source", "cell_lang", "cell_size"])
+    rows, total = ranked(indexed, ["curve_index", *text, "doc_id"], store)
     shard = F.expr(f"(rank * {shards}) div {max(total, 1)}")
     first = F.expr(f"({max(total, 1)} * shard + {shards - 1}) div {shards}")
     out = rows.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("rank") - first)
