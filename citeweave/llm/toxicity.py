@@ -8,13 +8,17 @@ smoothed totals in the two classes (ratios within ``SIGNIFICANCE`` standard
 errors count as none), and an L2-regularised logistic regression is fitted on
 the scaled features.
 
-The fit reads at most ``FIT_ROWS_PER_CLASS`` labelled rows of each class (those
-whose key hashes lowest), which bounds what reaches the driver; class sizes for
-the prior come from all learnable labels.  Scoring covers every row and text.
-
-A null text counts as empty and scores as the prior says; a null label is not
-learned from; repeated rows score alike; with no labels of one class every
-score is that of the other class's prior; an empty table gives an empty result.
+The fit reads, of each class, the labelled rows whose key hashes lowest: at
+most ``FIT_ROWS_PER_CLASS`` of them, and whole texts of at most
+``FIT_BYTES_PER_CLASS`` bytes together, which bounds what reaches the driver;
+class sizes for the prior come from all learnable labels.  Scoring covers every
+row and text.
+
+A null text counts as empty and scores as the prior says; a null label or key
+is not learned from, and a row without a key is scored like others; very long
+texts count whole; repeated rows score alike; with no labels of one class every
+score is that of the other class's prior; an empty table gives an empty result;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -36,10 +40,11 @@ from .textops import gram_buckets
 BITS = 18
 GRAMS = (4, 5, 6)
 FIT_ROWS_PER_CLASS = 1500
+FIT_BYTES_PER_CLASS = 16 << 20
 SMOOTHING = 1.0
 PENALTY = 1e-5
-#: A ratio counts where it exceeds this many standard errors.
-SIGNIFICANCE = 3.0
+#: A ratio counts where it exceeds this many standard errors; the rest of the shrinking is left to the penalty.
+SIGNIFICANCE = 1.0
 #: Added to a document's n-gram count, so that very short texts claim little.
 OFFSET = 50
 STEPS = 100
@@ -169,13 +174,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NgramMode
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
     picked = usable.filter("y = 1").orderBy(*order).limit(FIT_ROWS_PER_CLASS).unionByName(usable.filter("y = 0").orderBy(*order).limit(FIT_ROWS_PER_CLASS))
 
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # At most two times FIT_ROWS_PER_CLASS rows, of numbers here and of n-grams below.
+    lengths = keyed.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "size", F.xxhash64("doc_id").alias("h")).collect()
+    chosen, used = set(), {0: 0, 1: 0}
+    for r in sorted(lengths, key=lambda r: (r.h, r.doc_id, r.y, r.size)):
+        if used[r.y] + r.size <= FIT_BYTES_PER_CLASS:
+            used[r.y] += r.size
+            chosen.add((r.doc_id, r.y))
+    if not chosen:
+        return fit_model([], np.zeros(0), (sizes.get(0, 0), sizes.get(1, 0)))
+    taken = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, y int")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded_slices(batches, "text"):
             found = [packed(grams_of(t)) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "grams"])
 
-    # At most two times FIT_ROWS_PER_CLASS pairs of integers.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, y int, grams binary").collect()
+    rows = keyed.join(F.broadcast(taken), "doc_id").mapInArrow(run, "doc_id long, y int, grams binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.grams))
     return fit_model([bytes(r.grams) for r in rows], np.array([r.y for r in rows]), (sizes.get(0, 0), sizes.get(1, 0)))
 
