@@ -68,6 +68,24 @@ def test_sharding(spark, docs, none):
     assert {r.shard for r in shards.filter("size > 80000").collect()} <= hit
 
 
+def test_equal_texts_lie_side_by_side(spark, docs, monkeypatch):
+    """A group is one piece of the order whatever its members' metadata; the place of every row follows from its definition."""
+    monkeypatch.setattr(hilbert, "HEAVY", 20)  # of 161 rows, groups of eight are heavy
+    rows = [(i, f"text {i % 40 if i % 3 else 0}", "en" if i % 2 else "fr", f"s{i % 5}") for i in range(160)] + [(160, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = frame.withColumn("size", F.lit(1)).withColumn("rank", F.lit("r")).withColumn("shard", F.lit(0)).withColumn("members", F.lit(0))
+    for got in (hilbert.shard_by_curve(frame).collect(), hilbert.shard_by_curve(extra).collect()):
+        assert len(got) == len(rows)
+        text = {r[0]: r[1] for r in rows}
+        order = [text[r.doc_id] for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+        assert sum(a != b for a, b in zip(order, order[1:], strict=False)) == len(set(order)) - 1
+        assert len({r.curve_index for r in got if text[r.doc_id] == "text 0"}) == 1
+    counts = defaultdict(set)
+    for r in hilbert.shard_by_curve(docs).collect():
+        counts[r.text_crc32, r.size].add(r.curve_index)
+    assert all(len(v) == 1 for k, v in counts.items() if k != (0, 1))  # null and empty texts are told apart
+
+
 def test_secrets(spark, docs, none, texts):
     assert secrets.secret_spans(none).count() == 0 and secrets.secret_spans(docs).count() == len(ROWS)
     clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
@@ -322,6 +340,83 @@ def test_copies_behind_a_common_line_keep_one_body(spark):
     assert body[40:-40] in left[5].decode() and not left[9] and line[:-40] in left[1].decode()
 
 
+def chunks_by_definition(raw):
+    """The chunk rule byte by byte: the gear hash of the last bytes, the least distance, and the cuts of long gaps."""
+    gear, width, least, most = [int(x) for x in chunk_dedup.GEAR], chunk_dedup.WINDOW, chunk_dedup.LEAST, chunk_dedup.MOST
+    h = [sum(gear[raw[p - i]] << i for i in range(min(width, p + 1))) & 0xFFFFFFFF for p in range(len(raw))]
+    places = [p + 1 for p in range(len(raw)) if p + 1 >= width and h[p] < (1 << 32) // chunk_dedup.MEAN]
+    cuts = [p for i, p in enumerate(places) if i == 0 or p - places[i - 1] >= least]
+    marks, out = [0, *cuts, len(raw)], set(cuts) | {len(raw)}
+    for at, stop in zip(marks, marks[1:], strict=False):
+        while stop - at > most:
+            window = h[at + most // 4 : at + most // 2]
+            at += most // 4 + window.index(min(window)) + 1
+            out.add(at)
+    return sorted(out)
+
+
+def repeats_by_definition(texts, min_words, passage_words):
+    """Rows of repeated_spans, from chunks held as bytes."""
+    cuts, holders = {}, defaultdict(list)
+    for d, t in texts.items():
+        ends = chunks_by_definition(t) if t else []
+        cuts[d] = list(zip([0, *ends], ends, strict=False))
+        for a, b in cuts[d]:
+            holders[t[a:b]].append(d)
+    out = set()
+    for d, t in texts.items():
+        white = lambda i: i < 0 or t[i] in b" \t\n\v\f\r"  # noqa: B023,E731
+        words = [sum(white(i - 1) and not white(i) if i else not white(i) for i in range(a, b)) for a, b in cuts[d]]
+        shared = [min(holders[t[a:b]]) < max(holders[t[a:b]]) for a, b in cuts[d]]
+        i = 0
+        while i < len(shared):
+            j = i
+            while j < len(shared) and shared[j]:
+                j += 1
+            around = (words[i - 1] if i else 0) + (words[j] if j < len(words) else 0)
+            if j > i and sum(words[i:j]) >= min_words and sum(words[i:j]) + around >= passage_words:
+                first = [min(holders[t[a:b]]) for a, b in cuts[d]]
+                k = i
+                while k < j:
+                    m = k
+                    while m < j and first[m] == first[k]:
+                        m += 1
+                    out.add((d, cuts[d][k][0], cuts[d][m - 1][1], sum(words[k:m]), m - k, first[k], min(len(holders[t[a:b]]) for a, b in cuts[d][k:m]), d == first[k]))
+                    k = m
+            i = max(j, i + 1)
+    return out
+
+
+@pytest.mark.parametrize("passage", [0, 51])
+def test_repeated_spans_by_definition(spark, passage):
+    import random
+
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    parts = [fresh(n) for n in (5, 12, 20, 35, 45, 52, 60, 90)]
+    texts = {i: (fresh(rng.randrange(0, 40)) + "\n" + " ".join(rng.sample(parts, rng.randrange(0, 4))) + " " + fresh(rng.randrange(0, 30))).encode() for i in range(70)}
+    texts |= {70: b"", 71: texts[3], 72: "漢字 é".encode() * 30}
+    frame = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()] + [(None, "x y"), (73, None)], "doc_id long, text string")
+    got = {tuple(r) for r in chunk_dedup.repeated_spans(frame, 11, passage).collect()}
+    assert got == repeats_by_definition(texts, 11, passage) and got
+
+
+def test_long_passages_are_found_and_short_ones_left(spark, texts):
+    """Every document with 51 words that another has too, byte by byte, is in op3; what it reports may be such a passage."""
+    raw = {d: t.encode() for d, t in texts.items()}
+    starts = {d: [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", t)] + [len(t)] for d, t in raw.items()}
+    owners = defaultdict(set)
+    for d, t in raw.items():
+        for i in range(len(starts[d]) - 51):
+            owners[t[starts[d][i] : starts[d][i + 51]].rstrip()].add(d)
+    long = {d for who in owners.values() if len(who) > 1 for d in who}
+    rows = QUERIES["op3_substring_dedup"](spark, SF).collect()
+    found = {r.doc_id for r in rows}
+    assert len(long & found) >= 0.97 * len(long)
+    least = min(sum(r.n_words for r in rows if r.doc_id == d) for d in found)
+    assert least >= 51 - 2 * chunk_dedup.MOST // 2
+
+
 def rank_auc(rows, truth):
     rows = sorted((r for r in rows if r.held_out and r.doc_id in truth), key=lambda r: r.score)
     ones = [i for i, r in enumerate(rows) if truth[r.doc_id]]
