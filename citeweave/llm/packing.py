@@ -5,11 +5,13 @@ best fit decreasing, emits bins that are nearly full, and keeps the rest as
 *residual bins*.  Residual bins are the items of the next round, over fewer
 tasks, and so on up the tree until one task has packed all that is left or no
 two residual bins fit together.  A bin carries its members (at most
-``capacity`` of them), so no task ever holds more than its share of items.
+``capacity`` of them), and tasks are dealt by members as well as by bins, so
+none holds more than its share of either.
 
-A null text is the empty document (its ids are the end id alone); equal and
-repeated rows are separate items; an empty table gives no sequences; other
-columns are dropped.
+A null text is the empty document (its ids are the end id alone); a null key is
+a document like others; equal and repeated rows are separate items; very long
+texts are cut into pieces; an empty table gives no sequences; other columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from .tables import read_table
 CAPACITY = 2048
 END_ID = 0
 ITEMS_PER_TASK = 100_000
+#: Members of the bins of a task: bins of very short documents have many.
+MEMBERS_PER_TASK = 2_000_000
 #: A bin is nearly full, and emitted at once, with at most this many free places.
 SLACK = 8
 _ENCODERS: dict[tuple[str, str], object] = {}
@@ -62,14 +66,19 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         try:
             return self.fast.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+        except Exception:
+            return self._other(text)
+        except BaseException as e:  # the encoder's own panic is no Exception
+            if type(e).__name__ != "PanicException":
                 raise
-            if self.slow is None:
-                from tokenizers import Tokenizer
+            return self._other(text)
 
-                self.slow = Tokenizer.from_file(self.path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _other(self, text: str) -> np.ndarray:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def encoder(paths: tuple[str, str]) -> Encoder:
@@ -164,7 +173,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int
     items = pieces.select(F.col("length").cast("int").alias("fill"), members.alias("members"))
     count, number, finished = items.count(), 0, []
     while count:
-        tasks = -(-count // items_per_task)
+        members = items.agg(F.sum(F.size("members"))).first()[0]
+        tasks = max(-(-count // items_per_task), -(-members // MEMBERS_PER_TASK))
         packed = store.put(_pack_round(items.repartition(tasks), number, capacity, slack), f"round{number}")
         rest = packed.filter(~F.col("done"))
         left = rest.count()
