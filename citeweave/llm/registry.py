@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree
+from . import cover_tree, jaccard_join
 from .chunk_dedup import op3_substring_dedup
 from .hilbert import op5_sharding_hilbert
-from .jaccard_join import op4_ngram_jaccard_join
 from .media import op1_media_flac
 from .mixing import op9_mixing_sources
 from .packing import op8_best_fit_packing
@@ -21,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_flac": op1_media_flac,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_sharding_hilbert": op5_sharding_hilbert,
     "op6_exact_topk": cover_tree.op6_exact_topk,
     "op7_secret_scans": op7_secret_scans,
@@ -30,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_qda": op10_quality_qda,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": cover_tree.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": cover_tree.ORACLE}

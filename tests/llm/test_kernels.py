@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -243,6 +244,22 @@ def test_encoder_agrees_with_the_tokenizers_file():
         assert fast.ids(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def test_encoders_agree_on_ten_thousand_texts():
+    """Whole documents of the synthetic table and hostile strings: the faster encoder gives the tokenizers file's ids."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    paths = packing.default_vocabulary()
+    slow, fast, rng = Tokenizer.from_file(paths[0]), packing.encoder(paths), random.Random(12)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if t][::2]
+    alphabet = " \t\n\r\x0b\x85\u2028\u3000'abZ09éß漢\U0001f600\u0301\u200d\ufeff\x00\x1f!?-_<|>"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(4000)] + ["'s" * 50, "<|endoftext|>" * 3, " " * 999, "\n" * 333 + "x", "a" * 5000]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        for t, e in zip(part, slow.encode_batch(part, add_special_tokens=False), strict=True):
+            assert fast.ids(t).tolist() == e.ids, t[:80]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_permutation(n):
     p = mixing.permuted(np.arange(n), n, 5)
@@ -437,3 +454,57 @@ def test_classifiers_learn_and_stay_defined():
     assert (flat < 0.5).all() and len(set(flat)) == 1
     assert np.isfinite(quality.statistics([b"", b" ", b"a", "é é!! |\n|".encode()])).all()
     assert quality.fit_discriminant({}).scores(np.zeros((2, len(quality.STATISTICS)))).tolist() == [0.5, 0.5]
+
+
+def test_toxicity_fit_solves_its_problem():
+    """Counted and summed document by document: ratios by definition, and no slope left in the penalised loss."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    texts = [" ".join(["vile"] * (i % 2 * rng.randrange(1, 4)) + [word() for _ in range(25)]) for i in range(80)]
+    y = np.array([i % 2 for i in range(80)])
+    sizes = (900, 100)
+    model = toxicity.fit_model([toxicity.packed(toxicity.grams_of(t)) for t in texts], y, sizes)
+    feature, total = [], [np.full(1 << toxicity.BITS, toxicity.SMOOTHING) for _ in (0, 1)]
+    for t, label in zip(texts, y, strict=True):
+        grams = toxicity.grams_of(t)
+        own = {b: 10 * (c / (len(grams) + toxicity.OFFSET)) ** 0.5 for b, c in Counter(grams.tolist()).items()}
+        feature.append(own)
+        for b, v in own.items():
+            total[label][b] += v
+    ratio = np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
+    clear = np.abs(ratio) >= toxicity.SIGNIFICANCE * np.sqrt(1 / total[0] + 1 / total[1])
+    assert (model.weights[~clear] == 0).all() and (model.weights != 0).any()
+    scaled = [{b: v * ratio[b] for b, v in own.items() if clear[b]} for own in feature]
+    scale = (len(texts) / sum(v * v for own in scaled for v in own.values())) ** 0.5
+    prior = np.log((sizes[1] + 0.5) / (sizes[0] + 0.5))
+    slope, slope_b, weight = Counter(), 0.0, {}
+    for own, label in zip(scaled, y, strict=True):
+        z = model.intercept - prior + np.log(y.sum() / (len(y) - y.sum()))
+        for b, v in own.items():
+            weight[b] = model.weights[b] / (ratio[b] * scale)
+            z += weight[b] * v * scale
+        r = 1 / (1 + np.exp(-z)) - label
+        slope_b += r / len(texts)
+        for b, v in own.items():
+            slope[b] += r * v * scale / len(texts)
+    assert abs(slope_b) < 1e-3 and max(abs(slope[b] + toxicity.PENALTY * weight[b]) for b in slope) < 1e-3
+
+
+def test_discriminant_by_definition():
+    rng = np.random.default_rng(8)
+    size = 6
+    x = np.concatenate([rng.normal(size=(60, size)) * [1, 2, 3, 1, 1, 9], rng.normal(size=(40, size)) @ rng.normal(size=(size, size)) + 1])
+    y = np.repeat([0, 1], [60, 40])
+    model = quality.fit_discriminant({c: (float((y == c).sum()), x[y == c].sum(0), x[y == c].T @ x[y == c]) for c in (0, 1)})
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (60 * cov[0] + 40 * cov[1]) / 100
+    unit = np.diag(1 / np.sqrt(np.diag(pooled)))
+    density = []
+    for c in (0, 1):
+        own = unit @ ((1 - quality.POOLED) * cov[c] + quality.POOLED * pooled) @ unit
+        own = (1 - quality.SPHERICAL) * own + quality.SPHERICAL * np.trace(own) / size * np.eye(size)
+        own = np.linalg.inv(unit) @ own @ np.linalg.inv(unit)
+        away = x - x[y == c].mean(0)
+        density.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(own), away) - 0.5 * np.linalg.slogdet(own)[1])
+    want = 1 / (1 + np.exp(-np.clip(np.log(40.5 / 60.5) + (density[1] - density[0]) / quality.TEMPERATURE, -40, 40)))
+    assert np.allclose(model.scores(x), want, atol=1e-9)

@@ -453,6 +453,67 @@ def test_repeated_spans_hold_in_text(spark, texts):
         assert len(raw.split()) >= r.n_words - 1
 
 
+def test_quality_query_by_definition(spark, texts):
+    """Learned and scored document by document from whole texts."""
+    y = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet' WHERE quality IS NOT NULL").fetchall())
+    x = {d: quality.statistics([t.encode()])[0] for d, t in texts.items()}
+    sums = {}
+    for c in (0, 1):
+        own = np.array([x[d] for d in x if d in y and y[d] == c and zlib.crc32(str(d).encode()) % 4 != 2])
+        sums[c] = (float(len(own)), own.sum(0), own.T @ own)
+    model = quality.fit_discriminant(sums)
+    got = {r.doc_id: r.score for r in QUERIES["op10_quality_qda"](spark, SF).collect()}
+    assert set(got) == set(x) and all(abs(got[d] - model.scores(x[d][None])[0]) < 1e-6 for d in x)
+
+
+def test_equal_texts_score_alike(spark, docs):
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, y int"), "y")
+    assert model.scores([""])[0] == model.scores([" \n"])[0]
+    assert len({r.score for r in toxicity.score(docs, model).filter("doc_id in (4, 5)").collect()}) == 1
+
+
+#: Names that operators use inside, as columns of the documents.
+CLASHING = ("key", "n", "node", "rep", "size", "row", "row_id", "text_hash", "copies", "component", "d1", "words", "chunk", "start", "pivot", "slot", "shard", "rank", "x", "y", "held_out", "score", "place", "taken", "fill", "members", "piece", "digest", "h", "src")
+
+
+def test_results_do_not_depend_on_other_columns(spark, tmp_path, docs):
+    """Every query over whole and over widened tables: the same rows."""
+    bare, wide = f"file://{tmp_path}/bare", f"file://{tmp_path}/wide"
+    plain = docs.drop("key", "n")
+    widened = plain.select("*", *(F.lit(i if i % 2 else f"v{i}").alias(c) for i, c in enumerate(CLASHING)))
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0 / (i + 1), float(i)]) for i in range(250)], "vec_id long, embedding array<float>")
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    for path, d, v in ((bare, plain, vectors), (wide, widened, vectors.select("*", F.lit("q").alias("v"), F.lit(1).alias("row"), F.lit(2).alias("block"), F.lit(3).alias("floor")))):
+        d.write.parquet(f"{path}/documents.parquet")
+        v.write.parquet(f"{path}/embeddings.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+    for name, query in QUERIES.items():
+        one, two = (Counter(tuple(sorted((k, str(c)) for k, c in r.asDict().items() if k != "sequence_id" and k != "offset")) for r in query(spark, path).collect()) for path in (bare, wide))
+        assert one == two, name
+
+
+def test_very_long_texts(spark):
+    """One text above the slices' bound and over 8 MiB among short ones, in every operator."""
+    long = " ".join(f"w{i % 9973} v{i}" for i in range(700_000))
+    assert len(long) > 8 << 20
+    frame = spark.createDataFrame([(1, long + " token = abcdef123", "en", "a"), (2, "short text", "en", "a"), (3, long[: 1 << 20], "en", "b")], "doc_id long, text string, lang string, source string")
+    digest = {r.doc_id: r for r in media.media_digest(frame).collect()}
+    assert digest[1].n_bytes == len(long) + 18 and digest[1].payload_sha256 == hashlib.sha256(media.padded((long + " token = abcdef123").encode())).hexdigest()
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(frame).collect()}
+    assert spans[1] == f"assign:{len(long) + 1}:{len(long) + 18}" and spans[2] == ""
+    sizes = {r.doc_id: (r.size, r.taken) for r in mixing.taken_words(frame).collect()}
+    assert sizes[1][0] == 1_400_003 and all(t <= 2 * n for n, t in sizes.values())
+    sets = {r.doc_id: r.n_shingles for r in jaccard_join.linked_components(frame).collect()}
+    assert sets[1] == 1_400_001 and sets[2] == 1
+    pieces = packing.pack_documents(frame).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("piece").alias("c")).collect()
+    assert {r.doc_id for r in pieces} == {1, 2, 3} and all(r.c == -(-r.n // 2048) for r in pieces)
+    repeated = {r.doc_id for r in chunk_dedup.repeated_spans(frame).collect()}
+    assert repeated == {1, 3}
+    assert {r.doc_id: r.size for r in hilbert.shard_by_curve(frame).collect()}[1] == len(long) + 19
+    stats = quality.document_statistics(frame)
+    assert quality.score(stats, quality.train(stats, frame.select("doc_id", F.lit(1).alias("quality")))).count() == 3
+
+
 def test_queries_take_extra_columns(spark, tmp_path, docs):
     path = f"file://{tmp_path}"
     docs.write.parquet(f"{path}/documents.parquet")
