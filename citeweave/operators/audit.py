@@ -105,6 +105,55 @@ def year_range(papers: DataFrame, unknown: str = "未知") -> DataFrame:
     return y.select(F.coalesce(F.concat(F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string")), F.lit(unknown)).alias("year_range"))
 
 
+def year_text(papers: DataFrame, buckets: int = 12) -> DataFrame:
+    """One row: the last ``buckets`` years that records have with their counts, oldest first, as text."""
+    last = year_histogram(papers).orderBy(F.col("year").desc()).limit(buckets)  # at most so many rows
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("year", "n"))), lambda s: F.concat(s["year"].cast("string"), F.lit(":"), s["n"].cast("string")))
+    return last.agg(F.array_join(shown, ", ").alias("years"))
+
+
+def exported(papers: DataFrame, citations: DataFrame) -> DataFrame:
+    """Records as they leave: ``citation_index`` of those in ``citations`` (paper_id, citation_index), and of the full text only whether and how long it is."""
+    full = F.coalesce("fulltext", F.lit("")) if "fulltext" in papers.columns else F.lit("")
+    out = papers.withColumn("has_fulltext", full != "").withColumn("fulltext_chars", F.length(full))
+    return out.drop("fulltext", "fulltext_struct").join(citations.select("paper_id", "citation_index"), "paper_id", "left")
+
+
+# The scores at which a dimension draws a remark.
+WEAK_BELOW = {"faithfulness": 90, "citation_coverage": 80, "recency": 50, "grounding": 70}
+STRONG_FROM, BALANCE_BELOW = 95, 60
+
+
+def remarks(x: ScoreInputs, dropped: list[str], gaps: int) -> DataFrame:
+    """(kind, i, text): weaknesses and highlights that the dimensions draw, in their order.
+
+    Each rule is a condition over one row of scores and counts; ``dropped``
+    names the hubs that the gate dropped.
+    """
+    spark = x.papers.sparkSession
+    scores = scorecard(x).groupBy().pivot("dimension", list(DIMENSION_WEIGHTS)).agg(F.max(F.when(F.col("available"), F.col("score"))))
+    faith = x.faithfulness.agg(F.max("flagged").alias("flagged")) if x.faithfulness is not None else spark.range(1).select(F.lit(0).alias("flagged"))
+    bare = x.sections.agg(F.count(F.when(~F.coalesce(has_citation(F.col("body")), F.lit(False)), 1)).alias("bare"))
+    spread = x.clusters.agg(F.count(F.lit(1)).alias("groups"), (100 * (1 - F.stddev_pop("size") / F.avg("size"))).alias("balance"))
+    row = scores.crossJoin(faith).crossJoin(bare).crossJoin(spread)
+    low = lambda name: F.col(name) < WEAK_BELOW[name]
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    names = "、".join(dropped[:3])
+    c = F.col
+    rules = [
+        ("weakness", low("faithfulness"), text("引用-论断一致性 ", c("faithfulness"), "%：", c("flagged"), " 条论断疑似无充分支撑，建议补充引用或修订表述")),
+        ("highlight", c("faithfulness") >= STRONG_FROM, F.lit("引用-论断一致性高，自检闭环可信")),
+        ("weakness", low("citation_coverage"), text("引用覆盖 ", c("citation_coverage"), "%：", c("bare"), " 个小节缺少引用标注，建议补充支撑文献")),
+        ("weakness", F.lit(x.edge_count > 0 and bool(dropped)), F.lit(f"高枢纽论文被剔除：{len(dropped)} 篇必引级工作（{names} 等）可能被遗漏，建议放宽闸门或手动纳入")),
+        ("weakness", F.lit(gaps > 0) & (c("groups") > 0), F.lit(f"存在 {gaps} 个研究空白，建议针对性补检相关方向文献")),
+        ("weakness", (c("groups") > 1) & (c("balance") < BALANCE_BELOW), F.lit("主题簇规模失衡，建议补充小规模方向文献或合并过细簇")),
+        ("weakness", low("recency"), text("时效偏弱：近 5 年文献仅占 ", c("recency"), "%，建议补充最新进展")),
+        ("weakness", low("grounding"), F.lit("部分论断证据强度弱（low 置信占比高），建议增强抽取或补充支撑证据")),
+    ]
+    drawn = F.array_compact(F.array(*(F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("i"), said.alias("text"))) for i, (kind, when, said) in enumerate(rules))))
+    return row.select(F.explode(drawn).alias("r")).select("r.kind", F.col("r.i").cast("long").alias("i"), "r.text")
+
+
 def number_entries(keys: DataFrame) -> DataFrame:
     """(pos, key) from (pos, base): repeats of a base get a, b, ... in order of position.
 

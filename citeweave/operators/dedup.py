@@ -45,12 +45,15 @@ def assign_groups(papers: DataFrame, mode: str = "ordered") -> DataFrame:
     ``mode`` "ordered" replays the fold; "components" (an extra) takes plain
     connected components over shared keys.
     """
-    keyed = with_keys(papers)
-    lists = keyed.groupBy("keys").agg(F.min("pos").alias("first_pos"))
+    store = Store(papers.sparkSession, "dedup")
+    titled = with_keys(papers)
+    keyed = store.put(titled.select("pos", "keys"), "keyed")
+    lists = store.put(keyed.groupBy("keys").agg(F.min("pos").alias("first_pos")), "lists")
     ids = lists.select("first_pos", F.explode("keys").alias("key"))
-    hubs = ids.groupBy("key").agg(F.min("first_pos").alias("hub"))
+    # A key of one list connects nothing.
+    hubs = ids.groupBy("key").agg(F.min("first_pos").alias("hub"), F.max("first_pos").alias("last")).filter("hub < last").select("key", "hub")
     edges = ids.join(hubs, "key").select(F.col("first_pos").alias("a"), F.col("hub").alias("b"))
-    parts = connected_components(edges, Store(papers.sparkSession, "dedup")).select(F.col("node").alias("first_pos"), "component")
+    parts = connected_components(edges, store).select(F.col("node").alias("first_pos"), "component")
     placed = lists.join(parts, "first_pos", "left").withColumn("component", F.coalesce("component", "first_pos"))
     if mode == "components":
         groups = placed.select("keys", F.col("component").alias("group_id"))
@@ -65,7 +68,8 @@ def assign_groups(papers: DataFrame, mode: str = "ordered") -> DataFrame:
         several = placed.join(size.filter("count > 1"), "component", "left_semi")
         folded = several.groupBy("component").applyInPandas(replay, "first_pos long, group_id long")
         groups = placed.join(folded, "first_pos", "left").select("keys", F.coalesce("group_id", "first_pos").alias("group_id"))
-    return keyed.join(groups, "keys").drop("keys")
+    placed_rows = store.put(keyed.join(groups, "keys").select("pos", "group_id"), "groups")
+    return titled.drop("keys").join(placed_rows, "pos")
 
 
 def merge_groups(grouped: DataFrame, merge_graph_fields: bool = False) -> DataFrame:
@@ -93,6 +97,8 @@ def merge_groups(grouped: DataFrame, merge_graph_fields: bool = False) -> DataFr
     aggs += [earliest(c, ok) for c, ok in fills.items()]
     aggs += [F.min_by(c, pos).alias(c) for c in grouped.columns if c not in special]
     base = grouped.groupBy("group_id").agg(*aggs)
+    # What the lists need is narrow, and is read from a table of its own.
+    grouped = Store(grouped.sparkSession, "merge").put(grouped.select("group_id", "pos", "matched_queries", "source"), "lists")
     # Lists unite over their distinct values, which are few however large the group.
     query = grouped.select("group_id", "pos", F.posexplode("matched_queries").alias("i", "q")).groupBy("group_id", "q").agg(F.min(F.struct("pos", "i")).alias("at"))
     queries = query.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "q"))), lambda s: s["q"]).alias("matched_queries"))

@@ -15,12 +15,10 @@ from ..storage import Store
 from .components import connected_components
 
 DAMPING, ITERATIONS = 0.85, 60
-#: Rounds of PageRank between tables that cut the lineage.
-CUT_EVERY = 10
 #: Graphs of at most this many edges are ranked in one task, where a round costs no shuffle.
 LOCAL_EDGES = 200_000
-#: Betweenness holds the whole graph beside each task; larger graphs are refused.
-MAX_BETWEENNESS_EDGES = 2_000_000
+#: Betweenness holds graphs of at most this many edges beside each task; larger ones are walked level by level with joins.
+HELD_EDGES = 2_000_000
 
 
 def node_ids(papers: DataFrame) -> DataFrame:
@@ -51,13 +49,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         return _local_pagerank(base, links, damping, iterations)
     ranks = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(iterations):
+        # Every round is a table, so the plan of a round does not hold those before it.
+        loose = ranks.filter("out = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
-        new = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))
-        ranks = base.join(given, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", new.alias("rank"))
-        if (i + 1) % CUT_EVERY == 0 or i + 1 == iterations:
-            ranks = store.put(ranks, f"ranks{i}")
-            store.drop(f"ranks{i - CUT_EVERY}")
+        new = F.lit((1 - damping) / max(n, 1) + damping * loose / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))
+        ranks = store.put(base.join(given, "node", "left").select("node", "out", new.alias("rank")), f"ranks{i}")
+        store.drop(f"ranks{i - 2}")
     return ranks.select("node", "rank")
 
 
@@ -114,15 +111,21 @@ def _brandes(adjacent: dict[str, list[str]], source: str) -> dict[str, float]:
 
 def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, between) of the undirected graph, each pair once; sources are spread over tasks."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    size = both.count()
-    if size > MAX_BETWEENNESS_EDGES:
-        raise ValueError(f"betweenness holds the graph beside each task; {size} edges are too many")
-    adjacent: dict[str, list] = {}
-    for r in both.collect():  # at most MAX_BETWEENNESS_EDGES rows
+    both = Store(nodes.sparkSession, "between").put(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "both")
+    if both.count() > HELD_EDGES:
+        summed = _levels(nodes, both)
+    else:
+        summed = _held(nodes, both)
+    return nodes.select("node").join(summed, "node", "left").select("node", F.coalesce("x", F.lit(0.0)).alias("between"))
+
+
+def _held(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """(node, x) with the graph, of at most HELD_EDGES edges, as numbered arrays beside each task."""
+    kind = dict(nodes.dtypes)["node"]
+    adjacent: dict = {}
+    for r in both.collect():  # at most HELD_EDGES rows
         adjacent.setdefault(r.src, []).append(r.dst)
     shared = nodes.sparkSession.sparkContext.broadcast(adjacent)
-    kind = dict(nodes.dtypes)["node"]
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -132,8 +135,42 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     total[v] = total.get(v, 0.0) + x
             yield pd.DataFrame({"node": list(total), "x": list(total.values())})
 
-    summed = nodes.select("node").mapInPandas(run, f"node {kind}, x double").groupBy("node").agg((F.sum("x") / 2).alias("x"))
-    return nodes.select("node").join(summed, "node", "left").select("node", F.coalesce("x", F.lit(0.0)).alias("between"))
+    return nodes.select("node").mapInPandas(run, f"node {kind}, x double").groupBy("node").agg((F.sum("x") / 2).alias("x"))
+
+
+def _levels(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """(node, x) by joins: all sources advance level by level, then dependencies flow back from the last level.
+
+    A level is a table (s, v, paths) of the nodes v first met there and the
+    number of shortest paths from s.
+    """
+    store = Store(nodes.sparkSession, "levels")
+    levels = [store.put(nodes.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")), "level0")]
+    while True:
+        ahead = levels[-1].join(both, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        # A neighbour is in the level before, in the same one, or new.
+        for known in levels[-2:]:
+            ahead = ahead.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        reached = store.put(ahead, f"level{len(levels)}")
+        if not reached.head(1):
+            break
+        levels.append(reached)
+    shares = []
+    share = None
+    for depth in range(len(levels) - 1, 0, -1):
+        here = levels[depth]
+        here = here.withColumn("share", F.lit(0.0)) if share is None else here.join(share, ["s", "v"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        here = store.put(here, f"back{depth}")
+        shares.append(here.select(F.col("v").alias("node"), "share"))
+        above = levels[depth - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("before"))
+        steps = here.join(both.select(F.col("src").alias("v"), F.col("dst").alias("u")), "v").join(above, ["s", "u"])
+        share = steps.groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("before") / F.col("paths") * (1 + F.col("share"))).alias("share"))
+    if not shares:
+        return nodes.select("node", F.lit(0.0).alias("x")).limit(0)
+    out = shares[0]
+    for part in shares[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("node").agg((F.sum("share") / 2).alias("x"))
 
 
 def centrality(papers: DataFrame) -> DataFrame:
@@ -180,14 +217,25 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, scores: DataFrame, top: int
     return nodes.agg(F.count(F.lit(1)).alias("node_count")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edge_count"))).crossJoin(names)
 
 
+def best_nodes(papers: DataFrame, score: str, top: int = 5) -> DataFrame:
+    """One row with the first ``top`` records by a score above zero, stable in position: id, label and score."""
+    best = papers.filter(F.col(score) > 0).orderBy(F.col(score).desc(), "pos").limit(top)
+    entry = F.struct((-F.col(score)).alias("s"), "pos", F.struct(F.col("paper_id").alias("id"), F.trim(F.coalesce("title", F.lit(""))).alias("label"), F.round(score, 4).alias("score")).alias("e"))
+    return best.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias(f"top_{score}"))  # at most top rows
+
+
 def export_graph(papers: DataFrame, edges: DataFrame, clusters: DataFrame, gaps: list[str]) -> DataFrame:
-    """One row with the graph as a JSON document: nodes, edges, gaps and statistics."""
+    """One row with the graph as a JSON document: nodes, edges, gaps and statistics with the five best by either score."""
     label = clusters.select(F.explode("paper_ids").alias("paper_id"), "label", "cluster_id").groupBy("paper_id").agg(F.max_by("label", "cluster_id").alias("cluster"))
-    node = papers.join(label, "paper_id", "left").select("pos", F.struct("paper_id", "title", F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("citation_count", F.lit(0)).alias("citation_count"), F.coalesce("hub_score", F.lit(0.0)).alias("hub_score"), F.coalesce("bridge_score", F.lit(0.0)).alias("bridge_score"), F.coalesce("cluster", F.lit("")).alias("cluster")).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    known = papers.withColumn("hub_score", zero("hub_score").cast("double")).withColumn("bridge_score", zero("bridge_score").cast("double"))
+    node = known.join(label, "paper_id", "left").select("pos", F.struct(F.col("paper_id").alias("id"), F.trim(F.coalesce("title", F.lit(""))).alias("label"), zero("year").alias("year"), zero("citation_count").alias("citations"), F.round("hub_score", 4).alias("hub"), F.round("bridge_score", 4).alias("bridge"), F.coalesce("cluster", F.lit("")).alias("cluster")).alias("n"))
     nodes = node.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda s: s["n"]).alias("nodes"))
-    links = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("edges"))
-    doc = F.struct("nodes", "edges", F.lit(gaps if gaps else None).cast("array<string>").alias("gaps"), F.struct(F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count")).alias("stats"))
-    return nodes.crossJoin(links).select(F.to_json(doc).alias("graph"))
+    links = edges.agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst"))), lambda e: F.array(e["src"], e["dst"])).alias("edges"))
+    rename = lambda c, name: F.transform(c, lambda e: F.struct(e["id"].alias("id"), e["label"].alias("label"), e["score"].alias(name)))
+    stats = F.struct(F.size("nodes").alias("node_count"), F.size("edges").alias("edge_count"), rename("top_hub_score", "hub").alias("top_hub"), rename("top_bridge_score", "bridge").alias("top_bridge"))
+    doc = F.struct("nodes", "edges", F.array(*(F.lit(g) for g in gaps)).cast("array<string>").alias("gaps"), stats.alias("stats"))
+    return nodes.crossJoin(links).crossJoin(best_nodes(known, "hub_score")).crossJoin(best_nodes(known, "bridge_score")).select(F.to_json(doc).alias("graph"))
 
 
 def neighbourhood(edges: DataFrame, node: str, limit: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.text import bigrams, tokens
+from ..storage import Store
 from .tfidf import Vectorizer, cosine_scores
 
 # Fixed value: words that expansion never proposes.
@@ -28,10 +29,11 @@ novel new recent research work works using use via using
 
 
 def relevance(papers: DataFrame, topic: str, queries: list[str], v: Vectorizer = Vectorizer()) -> DataFrame:
-    """Papers with unrounded ``relevance``: cosine of title twice and abstract with topic thrice and queries."""
+    """Papers with unrounded ``relevance``: cosine of title twice and abstract with topic thrice and queries; the scores are written once."""
     text = F.concat_ws(" ", "title", "title", "abstract")
     scores = cosine_scores(papers.select("pos", text.alias("text")), " ".join([topic] * 3 + list(queries)), v, doc="pos")
-    return papers.drop("relevance").join(scores.withColumnRenamed("score", "relevance"), "pos")
+    scores = Store(papers.sparkSession, "relevance").put(scores.withColumnRenamed("score", "relevance"), "scores")
+    return papers.drop("relevance").join(scores, "pos")
 
 
 def gate(papers: DataFrame, threshold: float, min_keep: int = 20, score: str = "relevance") -> DataFrame:

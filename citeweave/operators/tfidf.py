@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Store
+
 # Own list of function words; a parameter everywhere.
 STOP_WORDS = tuple(
     "a about above after again all also am an and any are as at be been before being below between both but by can could did do does "
@@ -21,6 +23,8 @@ STOP_WORDS = tuple(
     "they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
 )
 TOKEN = r"(?U)\b\w\w+\b"
+#: Key of the query among the documents.
+QUERY = "\0query"
 
 
 @dataclass(frozen=True)
@@ -48,27 +52,46 @@ def term_counts(docs: DataFrame, v: Vectorizer, doc: str = "doc", text: str = "t
     return docs.select(F.col(doc).alias("doc"), F.explode(terms_of(F.col(text), v)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def weights(counts: DataFrame, n_docs: int, v: Vectorizer) -> DataFrame:
-    """(doc, term, w) of unit length from (doc, term, tf) over ``n_docs`` documents."""
+def features(counts: DataFrame, n_docs: int, v: Vectorizer, store: Store) -> DataFrame:
+    """(term, idf) of the terms that count; a broadcast hint only where their number is bounded."""
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).filter(F.col("df") <= v.max_df * n_docs)
     if v.max_features:
-        stats = F.broadcast(stats.orderBy(F.col("total").desc(), "term").limit(v.max_features))  # at most max_features rows
-    tf = F.lit(1.0) + F.log("tf") if v.sublinear else F.col("tf").cast("double")
-    raw = counts.join(stats, "term").select("doc", "term", (tf * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)).alias("w"))
+        stats = stats.orderBy(F.col("total").desc(), "term").limit(v.max_features)
+    stats = store.put(stats.select("term", (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "features")
+    return F.broadcast(stats) if v.max_features else stats  # at most max_features rows
+
+
+def _frequency(v: Vectorizer) -> Column:
+    return F.lit(1.0) + F.log("tf") if v.sublinear else F.col("tf").cast("double")
+
+
+def weights(counts: DataFrame, n_docs: int, v: Vectorizer) -> DataFrame:
+    """(doc, term, w) of unit length from (doc, term, tf) over ``n_docs`` documents; the counts are written once."""
+    store = Store(counts.sparkSession, "weights")
+    counts = store.put(counts, "counts")
+    raw = counts.join(features(counts, n_docs, v, store), "term").select("doc", "term", (_frequency(v) * F.col("idf")).alias("w"))
     norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cosine_scores(docs: DataFrame, query_text: str, v: Vectorizer = Vectorizer(), doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, score): cosine of every document with the query; the query counts among the fitted documents."""
-    spark = docs.sparkSession
+    """(doc, score): cosine of every document with the query; the query counts among the fitted documents.
+
+    Counts and features are written once.  All terms of a document add to its
+    length, but only the query's to the product, so one pass over the counts
+    with two small tables beside it gives both.
+    """
+    spark, store = docs.sparkSession, Store(docs.sparkSession, "tfidf")
     mark = docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))
-    asked = spark.createDataFrame([("\0query", query_text)], "doc string, text string")
-    n_docs = mark.count() + 1
-    w = weights(term_counts(mark.unionByName(asked), v), n_docs, v)
+    asked = spark.createDataFrame([(QUERY, query_text)], "doc string, text string")
+    counts = store.put(term_counts(mark.unionByName(asked), v), "counts")
+    n_docs = docs.count() + 1
+    weighted = counts.join(features(counts, n_docs, v, store), "term").select("doc", "term", (_frequency(v) * F.col("idf")).alias("w"))
+    own = weighted.filter(F.col("doc") == QUERY)
+    length = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     # The query's terms are as many as its words, and it is a parameter.
-    q = F.broadcast(w.filter(F.col("doc") == "\0query").select("term", F.col("w").alias("qw")))
-    dots = w.filter(F.col("doc") != "\0query").join(q, "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("dot", F.lit(0.0))))
-    out = docs.select(F.col(doc)).join(dots.withColumnRenamed("doc", "_doc"), F.col(doc).cast("string") == F.col("_doc"), "left")
-    return out.select(F.col(doc), score.alias("score"))
+    asks = F.broadcast(store.put(own.crossJoin(F.broadcast(length)).select("term", (F.col("w") / F.col("length")).alias("qw")), "query"))
+    sums = weighted.filter(F.col("doc") != QUERY).join(asks, "term", "left").groupBy("doc").agg(F.sum(F.col("w") * F.col("w")).alias("square"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = sums.select(F.col("doc").alias("_doc"), (F.coalesce("dot", F.lit(0.0)) / F.sqrt("square")).alias("_dot"))
+    out = docs.select(F.col(doc)).join(scored, F.col(doc).cast("string") == F.col("_doc"), "left")
+    return out.select(F.col(doc), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_dot", F.lit(0.0)))).alias("score"))

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tfidf import STOP_WORDS, Vectorizer, term_counts, weights
@@ -37,6 +37,11 @@ def choose_k(n: int, requested: int = 0) -> int:
     return max(2, min(8, n - 1, round(math.sqrt(n / 2))))
 
 
+def chosen_k(n: Column) -> Column:
+    """:func:`choose_k` without a request, of a column of sizes."""
+    return F.when(n <= 2, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(8), n - 1, F.bround(F.sqrt(n / 2), 0).cast("long"))))
+
+
 def embed(docs: DataFrame, dims: int = 128, v: Vectorizer = TOPIC_TERMS) -> DataFrame:
     """(doc, v): unit vectors of (doc, text) by TF-IDF and truncated SVD."""
     n = docs.count()

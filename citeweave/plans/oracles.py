@@ -155,7 +155,22 @@ b AS (SELECT *, list_filter(regexp_split_to_array(replace(q, '"', ' '), '\s+'),
 SELECT doc_id, CASE WHEN regexp_matches(q, '^(ti|abs|au|cat|all):') THEN q WHEN len(ws) <= 1 THEN 'all:' || q
        ELSE array_to_string(list_transform(ws, lambda w: CASE WHEN contains(w, '-') THEN 'all:"' || w || '"' ELSE 'all:' || w END), ' AND ') END AS arxiv_query,
        rtrim(substr(trim(regexp_replace(regexp_replace(q, '[,:|()\[\]{{}}<>"''&+]', ' ', 'g'), '\s+', ' ', 'g')), 1, 110)) AS filter_value FROM b""",
-    "source_fanout_union": f"WITH {PAPERS}, x AS (SELECT source, pos, unnest(mq) AS q FROM papers) SELECT source, q, pos, row_number() OVER (PARTITION BY source, q ORDER BY pos) AS rank FROM x",
+    "source_fanout_union": r"""
+WITH d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS k, 'On ' || md5(text) AS t, CAST(2000 + doc_id % 25 AS BIGINT) AS y, doc_id % 2 = 1 AS odd, doc_id % 97 = 0 AS broken, source AS src FROM documents),
+e AS (SELECT * FROM d WHERE n % 6 <= 4 AND (NOT broken OR n % 6 <= 2))
+SELECT n AS pos, CASE n % 6 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar' WHEN 2 THEN 'crossref' WHEN 3 THEN 'arxiv' ELSE 'pubmed' END AS source,
+  CASE WHEN broken THEN CASE n % 6 WHEN 0 THEN 'openalex:' WHEN 1 THEN '' ELSE 'crossref:' END
+       ELSE CASE n % 6 WHEN 0 THEN CASE WHEN odd THEN 'doi:10.1/a' || k ELSE 'openalex:W' || k END WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'doi:10.1/b' || k WHEN odd THEN 'arxiv:2301.' || k ELSE 's2:' || k END
+            WHEN 2 THEN 'doi:10.2/' || k WHEN 3 THEN 'arxiv:2301.' || k ELSE 'doi:10.3/' || k END END AS paper_id,
+  CASE WHEN broken THEN '' ELSE t END AS title, CASE WHEN NOT broken THEN y END AS year,
+  CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN '' WHEN 1 THEN 'A venue' WHEN 2 THEN 'J' WHEN 3 THEN 'arXiv preprint' ELSE 'J' END END AS venue,
+  CASE WHEN broken OR n % 6 >= 3 THEN 0 ELSE n % 500 END AS citation_count,
+  CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN 'first words of words' WHEN 1 THEN coalesce(src, '') WHEN 2 THEN 'things of ' || k || '.' WHEN 3 THEN 'an abstract' ELSE 'one two' END END AS abstract,
+  CASE WHEN broken THEN NULL ELSE CASE n % 6 WHEN 0 THEN CASE WHEN odd THEN '10.1/a' || k END WHEN 1 THEN CASE WHEN n % 4 = 0 THEN '10.1/b' || k END WHEN 2 THEN '10.2/' || k WHEN 4 THEN '10.3/' || k END END AS doi,
+  CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN 'N ' || k WHEN 1 THEN '|Q ' || k WHEN 2 THEN 'G F' || k WHEN 3 THEN 'X ' || k ELSE 'Fo L' || k END END AS authors,
+  CASE WHEN broken THEN '' WHEN n % 6 = 1 AND odd THEN 'https://arxiv.org/pdf/2301.' || k WHEN n % 6 = 3 THEN 'https://arxiv.org/pdf/2301.' || k ELSE '' END AS pdf_url,
+  CASE WHEN n % 6 = 0 AND NOT broken THEN 'W' || k ELSE '' END AS openalex_id, CASE WHEN n % 6 = 0 AND NOT broken THEN 'https://x.org/W' || (n + 6) ELSE '' END AS refs, 'q' AS queries
+FROM e""",
     "dedup_groups": f"WITH {_GROUPS} SELECT pos, group_id FROM grp",
     "dedup_merge": f"WITH {_MERGED} SELECT m.pos, paper_id, md5(abstract) AS abstract_md5, citation_count, year, source, coalesce(queries, '') AS queries FROM merged m LEFT JOIN ql ON ql.group_id = m.pos",
     "tfidf_relevance": f"WITH {RELEVANCE} SELECT pos, round(relevance, 5) AS relevance FROM rel",
@@ -237,6 +252,32 @@ o AS (SELECT *, sum(CASE WHEN head IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITIO
 g AS (SELECT doc_id, ord, max(head) AS heading, max(CASE WHEN head IS NOT NULL THEN CASE WHEN regexp_extract(line, '{_NUMBERED}', 1) <> '' THEN length(regexp_replace(regexp_extract(line, '{_NUMBERED}', 1), '[^.]', '', 'g')) + 1 ELSE 1 END END) AS level,
       string_agg(CASE WHEN head IS NULL AND line <> '' THEN line END, chr(10) ORDER BY i) AS body FROM o GROUP BY ALL)
 SELECT doc_id, CAST(ord AS BIGINT) AS ord, coalesce(heading, 'Full Text') AS heading, CAST(coalesce(level, 0) AS BIGINT) AS level, length(body) AS chars FROM g WHERE coalesce(body, '') <> ''""",
+    "table_detect": rf"""
+WITH a AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 4 = 1 THEN x || chr(10) || CASE doc_id % 3
+    WHEN 0 THEN replace('Table 1: of runs~over two seeds~A  1  2~B  3  4', '~', chr(10)) WHEN 1 THEN replace('Fig. 2  of parts~~Results~| a | 1 |', '~', chr(10)) ELSE replace('tab. 3 alone~~~one more line~7 of 9 in 11 runs~x | y~Figure 4~', '~', chr(10)) END ELSE x END), chr(10)) AS text FROM documents
+), c AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)\n\s*(references|bibliography|参考文献)\s*\n') THEN length(regexp_extract(text, '(?is)^(.*?)\n\s*(references|bibliography|参考文献)\s*\n', 1)) ELSE 0 END AS cut FROM a),
+ls AS (SELECT doc_id, string_split(CASE WHEN cut > 0.4 * length(text) THEN substr(text, 1, cut) ELSE text END, chr(10)) AS ls FROM c),
+l0 AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS raw FROM ls),
+l1 AS (SELECT *, trim(regexp_replace(raw, '[ \t]{{2,}}', ' ', 'g')) AS line FROM l0),
+l2 AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^(table|tab\.?)\s*\d+') THEN 't' WHEN regexp_matches(line, '(?i)^(figure|fig\.?)\s*\d+') THEN 'f' END AS kind,
+  len(regexp_extract_all(raw, '\|')) AS bars, len(regexp_extract_all(raw, '[ \t]{{2,}}')) AS gaps, len(list_filter(regexp_split_to_array(trim(raw), '[ \t]{{2,}}'), lambda p: regexp_matches(p, '\d'))) AS nums,
+  len(regexp_extract_all(raw, '\S+')) AS words, len(list_filter(regexp_extract_all(raw, '\S+'), lambda w: regexp_matches(w, '\d'))) AS numbers FROM l1),
+l3 AS (SELECT *, kind IS NULL AND CASE WHEN bars > 0 THEN bars >= 2 ELSE (gaps >= 2 AND nums >= 2) OR (words >= 4 AND numbers >= 2) END AS is_row,
+  line <> '' AND (kind IS NOT NULL OR (length(line) <= 90 AND (trim(regexp_extract(line, '{_NUMBERED}', 2)) <> '' OR {_NAME} IN {_list(HEADINGS)}))) AS stop FROM l2),
+l4 AS (SELECT *, lead(is_row, 1, false) OVER o AS row_next, min(CASE WHEN line <> '' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nb FROM l3 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+cap AS (
+  SELECT x.doc_id, x.i, x.kind, CASE WHEN regexp_matches(x.raw, '[ \t]{{2,}}') THEN trim(x.raw) ELSE x.line END AS head, a.line AS l1, b.line AS l2, NOT coalesce(a.stop, true) AS one, NOT coalesce(a.stop, true) AND NOT a.row_next AND NOT coalesce(b.stop, true) AS two,
+         a.i AS ai, a.row_next AS ar, b.i AS bi FROM l4 x LEFT JOIN l4 a ON a.doc_id = x.doc_id AND a.i = x.nb LEFT JOIN l4 b ON b.doc_id = x.doc_id AND b.i = a.nb WHERE x.kind IS NOT NULL
+), ends AS (SELECT *, CASE WHEN two THEN bi + 1 WHEN one AND ar THEN ai + 1 WHEN one THEN coalesce(bi, 1000000000) ELSE coalesce(ai, 1000000000) END AS stop_at, length(head) + CASE WHEN one THEN 1 + length(l1) ELSE 0 END + CASE WHEN two THEN 1 + length(l2) ELSE 0 END AS chars FROM cap),
+free AS (SELECT l.doc_id, l.i FROM l4 l WHERE is_row AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.doc_id = l.doc_id AND e.i < l.i AND l.i < e.stop_at)),
+runs AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g, i FROM free), parts AS (SELECT doc_id, g, (row_number() OVER (PARTITION BY doc_id, g ORDER BY i) - 1) // 40 AS p, i FROM runs),
+tabs AS (SELECT doc_id, g, p, min(i) AS i, count(*) AS n FROM parts GROUP BY ALL),
+under AS (SELECT e.doc_id, coalesce(t.n, 0) AS n, chars FROM ends e LEFT JOIN tabs t ON t.doc_id = e.doc_id AND t.i = e.stop_at WHERE kind = 't')
+SELECT d.doc_id, CAST((SELECT count(*) FROM tabs t WHERE t.doc_id = d.doc_id) + (SELECT count(*) FROM under u WHERE u.doc_id = d.doc_id) AS BIGINT) AS n_tables, CAST((SELECT count(*) FROM ends e WHERE e.doc_id = d.doc_id AND kind = 'f') AS BIGINT) AS n_figures,
+  CAST(coalesce((SELECT sum(n) FROM tabs t WHERE t.doc_id = d.doc_id), 0) + coalesce((SELECT sum(n) FROM under u WHERE u.doc_id = d.doc_id), 0) AS BIGINT) AS n_rows,
+  CAST(coalesce((SELECT sum(chars) FROM under u WHERE u.doc_id = d.doc_id), 0) AS BIGINT) AS table_chars, CAST(coalesce((SELECT sum(chars) FROM ends e WHERE e.doc_id = d.doc_id AND kind = 'f'), 0) AS BIGINT) AS figure_chars
+FROM documents d""",
     "citation_extract": rf"WITH m AS ({_MARKED}) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(body, '\[(\d{{1,3}})\]', 1), lambda n: CAST(n AS INTEGER)))), ',') AS cited FROM m",
     "citation_strip": rf"WITH m AS ({_MARKED}) SELECT conv_id, turn, md5(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(body, '\[0*([1-5])\]', chr(1) || '\1' || chr(2), 'g'), chr(3), ''), chr(4), ''), chr(5), ''), chr(6), ''), chr(7), ''), '\[\d{{1,3}}\]', '', 'g').replace(chr(1), '[').replace(chr(2), ']')) AS body_md5 FROM m",
     "claim_grounding": """WITH c AS (SELECT doc_id, 'doc:' || doc_id AS paper_id, doc_id + 1 AS n FROM labels WHERE doc_id % 2 = 0), x AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'high' WHEN toxic = 1 THEN 'low' ELSE 'medium' END AS confidence FROM labels),
@@ -246,7 +287,7 @@ SELECT doc_id AS claim_ix, confidence, paper_id, CAST(min(i) AS BIGINT) AS i FRO
     "quality_scorecard": f"WITH {_DIMENSIONS} SELECT dimension, score, CAST(weight AS DOUBLE) AS weight, available FROM dims",
     "quality_overall": f"WITH {_DIMENSIONS}, o AS (SELECT CAST(round_even(sum(score * weight) / sum(weight), 0) AS BIGINT) AS overall FROM dims WHERE available) SELECT overall, CASE WHEN overall >= 85 THEN 'A' WHEN overall >= 70 THEN 'B' WHEN overall >= 55 THEN 'C' ELSE 'D' END AS grade FROM o",
     "bibtex_entries": f"""WITH {WITH_DOI}, words AS (SELECT *, list_filter(list_transform(regexp_extract_all(title, '[A-Za-z]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN {_list(KEY_STOP_WORDS)}) AS ws FROM kinds),
-based AS (SELECT *, 'name' || year || coalesce(ws[1], 'untitled') AS base FROM words), keyed AS (SELECT *, base || '.' || row_number() OVER (PARTITION BY base ORDER BY pos) AS key FROM based)
+based AS (SELECT *, 'name' || year || coalesce(ws[1], 'untitled') AS base FROM words), keyed AS (SELECT *, base || CASE WHEN row_number() OVER (PARTITION BY base ORDER BY pos) > 1 THEN chr(CAST(95 + row_number() OVER (PARTITION BY base ORDER BY pos) AS INTEGER)) ELSE '' END AS key FROM based)
 SELECT pos, key, md5('@' || kind || '{{' || key || ',' || chr(10) || array_to_string(list_filter([
   CASE WHEN title <> '' THEN '  title = {{' || {_escaped('title')} || '}}' END, '  author = {{' || {_escaped('author')} || '}}', '  year = {{' || year || '}}',
   CASE WHEN kind = 'inproceedings' THEN '  booktitle = {{' || {_escaped('v')} || '}}' END, CASE WHEN kind = 'article' AND v <> '' THEN '  journal = {{' || {_escaped('v')} || '}}' END,
@@ -256,7 +297,20 @@ SELECT pos, key, md5('@' || kind || '{{' || key || ',' || chr(10) || array_to_st
     "evidence_block": f"""WITH {PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY citation_count DESC, pos) - 1 AS i FROM papers)
 SELECT source AS cluster, i, md5('[' || CASE WHEN pos % 2 = 0 THEN CAST(pos AS VARCHAR) ELSE 'None' END || '] ' || title || ' (' || year || ', 被引 ' || citation_count || ')' || chr(10) || '    结论: ' || CASE WHEN l.doc_id IS NOT NULL THEN 'quality ' || quality ELSE substr(abstract, 1, 180) END
   || CASE WHEN toxic = 1 THEN chr(10) || '    数据: toxic' ELSE '' END) AS line_md5 FROM r LEFT JOIN labels l ON l.doc_id = r.pos WHERE i < 15""",
-    "papers_export": f"WITH {PAPERS} SELECT paper_id, length(title) AS title_chars, length(abstract) AS abstract_chars, length(abstract) > 0 AS has_abstract, CASE WHEN pos % 3 = 0 THEN CAST(pos // 3 + 1 AS BIGINT) END AS citation_index FROM papers",
+    "papers_export": f"WITH {PAPERS} SELECT paper_id, length(title) AS title_chars, length(abstract) AS abstract_chars, pos % 2 = 0 AND length(abstract) > 0 AS has_fulltext, CAST(CASE WHEN pos % 2 = 0 THEN length(abstract) ELSE 0 END AS BIGINT) AS fulltext_chars, CASE WHEN pos % 3 = 0 THEN CAST(pos // 3 + 1 AS BIGINT) END AS citation_index FROM papers",
+    "year_text": "SELECT string_agg(y || ':' || n, ', ' ORDER BY y) AS years FROM (SELECT 1990 + doc_id % 30 AS y, count(*) AS n FROM documents GROUP BY 1 ORDER BY 1 DESC LIMIT 12)",
+    "quality_remarks": f"""WITH {_DIMENSIONS}, p AS (SELECT max(CASE WHEN dimension = 'faithfulness' THEN score END) AS f, max(CASE WHEN dimension = 'citation_coverage' THEN score END) AS c, max(CASE WHEN dimension = 'recency' THEN score END) AS r, max(CASE WHEN dimension = 'grounding' THEN score END) AS g FROM dims WHERE available),
+z AS (SELECT (SELECT count(*) FROM labels WHERE quality = 0) AS flagged, (SELECT count(*) FROM m WHERE NOT (turn % 2 = 0 AND regexp_matches(body, '\\[\\d{{1,3}}\\]'))) AS bare, (SELECT 100 * (1 - stddev_pop(n) / avg(n)) FROM (SELECT count(*) AS n FROM papers GROUP BY lang)) AS balance),
+a AS (
+  SELECT 'weakness' AS kind, 0 AS i, '引用-论断一致性 ' || f || '%：' || flagged || ' 条论断疑似无充分支撑，建议补充引用或修订表述' AS text, f < 90 AS said FROM p, z
+  UNION ALL SELECT 'highlight', 1, '引用-论断一致性高，自检闭环可信', f >= 95 FROM p
+  UNION ALL SELECT 'weakness', 2, '引用覆盖 ' || c || '%：' || bare || ' 个小节缺少引用标注，建议补充支撑文献', c < 80 FROM p, z
+  UNION ALL SELECT 'weakness', 3, '高枢纽论文被剔除：2 篇必引级工作（Hub one、Hub two 等）可能被遗漏，建议放宽闸门或手动纳入', true
+  UNION ALL SELECT 'weakness', 4, '存在 2 个研究空白，建议针对性补检相关方向文献', true
+  UNION ALL SELECT 'weakness', 5, '主题簇规模失衡，建议补充小规模方向文献或合并过细簇', balance < 60 FROM z
+  UNION ALL SELECT 'weakness', 6, '时效偏弱：近 5 年文献仅占 ' || r || '%，建议补充最新进展', r < 50 FROM p
+  UNION ALL SELECT 'weakness', 7, '部分论断证据强度弱（low 置信占比高），建议增强抽取或补充支撑证据', g < 70 FROM p
+) SELECT kind, CAST(i AS BIGINT) AS i, text FROM a WHERE said""",
     "json_repair": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS id FROM events",
     "search_pool": f"""WITH {_MERGED}, {_tfidf(f"SELECT CAST(pos AS VARCHAR) AS doc, title || ' ' || title || ' ' || abstract AS text FROM merged UNION ALL SELECT 'q', {_q(_ASK)}", STOP_WORDS, 2, 20000)},
 rel AS (SELECT p.*, coalesce(ql.nq, 0) AS nq, greatest(0.0, least(1.0, coalesce(d.dot, 0.0))) AS relevance FROM merged p LEFT JOIN ql ON ql.group_id = p.pos LEFT JOIN (SELECT a.doc, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.term = b.term AND b.doc = 'q' WHERE a.doc <> 'q' GROUP BY a.doc) d ON d.doc = CAST(p.pos AS VARCHAR)),

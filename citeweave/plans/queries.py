@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import bibliography, citations, identifiers, jsonfix, text
 from ..operators import audit, dedup, enrich, graph, ranking, record_store, sections, tfidf, topics
+from ..sources import payloads
 from ..storage import Store
 from .fixtures import QUERIES, TOPIC, flow_edges, flow_nodes, order_references, papers_docs, table
 
@@ -68,12 +69,48 @@ def query_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", identifiers.arxiv_query(line).alias("arxiv_query"), identifiers.filter_value(line).alias("filter_value"))
 
 
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as answers of five sources and of one that no parser knows: JSON works, Atom entries and Medline articles."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    k, title, year = n.cast("string"), F.concat(F.lit("On  "), F.md5("text")), 2000 + n % 25
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    odd = n % 2 == 1
+    openalex = F.to_json(F.struct(
+        text("https://x.org/W", k).alias("id"), F.when(odd, text("https://doi.org/10.1/A", k)).alias("doi"), title.alias("display_name"), year.alias("publication_year"), (n % 500).alias("cited_by_count"),
+        F.expr("map('first', array(0), 'words', array(1, 3), 'of', array(2))").alias("abstract_inverted_index"), F.array(F.struct(F.struct(text("N ", k).alias("display_name")).alias("author"))).alias("authorships"), F.array(text("https://x.org/W", n + 6)).alias("referenced_works"),
+    ))
+    scholar = F.to_json(F.struct(
+        k.alias("paperId"), title.alias("title"), F.col("source").alias("abstract"), year.alias("year"), F.lit("A venue").alias("venue"), (n % 500).alias("citationCount"), F.struct(F.when(n % 4 == 0, text("doi:10.1/B", k)).alias("DOI"), F.when(odd, text("2301.", k, "v3")).alias("ArXiv")).alias("externalIds"),
+        F.array(F.struct(F.lit("").alias("name")), F.struct(text("Q  ", k).alias("name"))).alias("authors"),
+    ))
+    dated = F.struct(F.array(F.array(year.cast("int"), F.lit(2))).alias("date-parts"))
+    crossref = F.to_json(F.struct(
+        text("10.2/", k).alias("DOI"), F.array(title).alias("title"), text("<jats:p>things of ", k, " .</jats:p>").alias("abstract"), (n % 500).alias("is-referenced-by-count"), F.array(F.lit("J")).alias("container-title"),
+        F.array(F.struct(F.lit("G").alias("given"), text("F", k).alias("family"))).alias("author"), F.when(odd, dated).alias("issued"), dated.alias("created"),
+    ))
+    atom = text("<entry xmlns='http://www.w3.org/2005/Atom'><id>http://arxiv.org/abs/2301.", k, "v2</id><title>", title, "</title><published>", year, "-01-02</published><author><name>X ", k, "</name></author><summary> an  abstract </summary></entry>")
+    medline = text(
+        "<PubmedArticle><PMID>", k, "</PMID><Article><ArticleTitle>", title, "</ArticleTitle><Abstract><AbstractText>one</AbstractText><AbstractText>two</AbstractText></Abstract><Journal><Title>J</Title><JournalIssue><PubDate><MedlineDate>", year,
+        " Jan</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>L", k, "</LastName><ForeName>Fo</ForeName></Author></AuthorList><ELocationID EIdType='doi'>10.3/", k, "</ELocationID></Article></PubmedArticle>",
+    )
+    broken = n % 97 == 0
+    source = F.element_at(F.array(*(F.lit(x) for x in SOURCES)), (n % 6 + 1).cast("int"))
+    payload = F.when(broken, "{").when(n % 6 == 0, openalex).when(n % 6 == 1, scholar).when(n % 6 == 2, crossref).when(n % 6 == 3, atom).when(n % 6 == 4, medline).otherwise("{}")
+    return d.filter(~broken | (n % 6).isin(0, 1, 2)).select(source.alias("source"), F.lit("q").alias("query"), payload.alias("payload"), n.alias("pos"))
+
+
+#: Sources of the payloads above, the last of them unknown.
+SOURCES = ("openalex", "semantic_scholar", "crossref", "arxiv", "pubmed", "elsewhere")
+
+
 @query
 def source_fanout_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag union of per-source results in order of source, query and rank."""
-    docs = papers_docs(spark, sf_dir).select("source", "pos", F.posexplode("matched_queries").alias("i", "q"))
-    order = Window.partitionBy("source", "q").orderBy("pos")
-    return docs.select("source", "q", "pos", F.row_number().over(order).cast("long").alias("rank"))
+    """Records of all sources' payloads as a bag union; unknown sources give nothing, damaged payloads no title."""
+    found = payloads.fan_out(_payloads(spark, sf_dir), SOURCES)
+    return found.select(
+        "pos", "source", "paper_id", "title", F.col("year").cast("long").alias("year"), "venue", "citation_count", "abstract", "doi", F.array_join("authors", "|").alias("authors"), F.coalesce("pdf_url", F.lit("")).alias("pdf_url"),
+        "openalex_id", F.array_join("referenced_works", "|").alias("refs"), F.array_join("matched_queries", "|").alias("queries"),
+    )
 
 
 @query
@@ -281,9 +318,7 @@ def store_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster counts for the sizes of the labelled groups."""
     sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    auto = F.bround(F.sqrt(F.col("n") / 2), 0).cast("long")
-    k = F.when(F.col("n") <= 2, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(8), F.col("n") - 1, auto)))
-    return sizes.select(F.col("label").cast("long").alias("label"), "n", k.cast("long").alias("k"))
+    return sizes.select(F.col("label").cast("long").alias("label"), "n", topics.chosen_k(F.col("n")).cast("long").alias("k"))
 
 
 @query
@@ -332,9 +367,13 @@ def section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table-like runs of lines in documents."""
-    found = sections.detect_tables(table(spark, sf_dir, "documents"), "doc_id")
-    return found.select(F.col("doc").alias("doc_id"), F.size("tables").cast("long").alias("n_tables"), F.size("figures").cast("long").alias("n_figures"))
+    """Tables and figures of documents with captions, rows, headings and blank lines put between their lines."""
+    put = F.when(F.col("doc_id") % 3 == 0, "Table 1: of runs\nover two seeds\nA  1  2\nB  3  4").when(F.col("doc_id") % 3 == 1, "Fig. 2  of parts\n\nResults\n| a | 1 |").otherwise("tab. 3 alone\n\n\none more line\n7 of 9 in 11 runs\nx | y\nFigure 4\n")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(x, F.lit("\n"), put)).otherwise(x))
+    found = sections.detect_tables(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id")
+    chars = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x["caption"])).cast("long")
+    rows = F.aggregate("tables", F.lit(0), lambda a, t: a + F.size(t["rows"])).cast("long")
+    return found.select(F.col("doc").alias("doc_id"), F.size("tables").cast("long").alias("n_tables"), F.size("figures").cast("long").alias("n_figures"), rows.alias("n_rows"), chars(F.col("tables")).alias("table_chars"), chars(F.col("figures")).alias("figure_chars"))
 
 
 def _marked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,13 +414,17 @@ def faithfulness_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.faithfulness(table(spark, sf_dir, "labels").select(F.when(F.col("quality") == 0, "Unsupported").when(F.col("toxic") == 1, "partial").otherwise("supported").alias("verdict")))
 
 
-def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _inputs(spark: SparkSession, sf_dir: str) -> audit.ScoreInputs:
     docs, lab = papers_docs(spark, sf_dir), table(spark, sf_dir, "labels")
     faith = faithfulness_score(spark, sf_dir)
     secs = _marked_turns(spark, sf_dir).select(F.when(F.col("turn") % 2 == 0, F.col("body")).otherwise("none").alias("body"))
     clusters = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     claims = lab.select(F.when(F.col("quality") == 1, "high").when(F.col("toxic") == 1, "low").otherwise("medium").alias("confidence"))
-    return audit.scorecard(audit.ScoreInputs(docs, secs, clusters, claims, faith, 75, 1, 2, 2024))
+    return audit.ScoreInputs(docs, secs, clusters, claims, faith, 75, 1, 2, 2024)
+
+
+def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.scorecard(_inputs(spark, sf_dir))
 
 
 @query
@@ -407,7 +450,7 @@ def bibtex_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BibTeX entries with their keys."""
     p = _with_dois(spark, sf_dir)
     base = p.select("pos", bibliography.cite_key_base(F.col("authors"), F.col("year"), F.col("title")).alias("base"))
-    keys = base.withColumn("i", F.row_number().over(Window.partitionBy("base").orderBy("pos"))).select("pos", F.concat("base", F.lit("."), F.col("i").cast("string")).alias("key"))
+    keys = audit.number_entries(base)
     c = F.col
     entry = bibliography.bibtex_entry(c("key"), c("paper_id"), c("title"), c("authors"), c("year"), c("venue"), c("doi"), c("url"), c("source"))
     return p.join(keys, "pos").select("pos", "key", F.md5(entry).alias("entry_md5"))
@@ -434,10 +477,35 @@ def evidence_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def papers_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exported records with their citation numbers."""
-    p = papers_docs(spark, sf_dir)
+    """Exported records: citation numbers, and the full text as its presence and length."""
+    p = papers_docs(spark, sf_dir).withColumn("fulltext", F.when(F.col("pos") % 2 == 0, F.col("abstract")))
     cites = p.filter("pos % 3 = 0").select("paper_id", (F.col("pos") / 3 + 1).cast("long").alias("citation_index"))
-    return p.join(cites, "paper_id", "left").select("paper_id", F.length("title").cast("long").alias("title_chars"), F.length("abstract").cast("long").alias("abstract_chars"), (F.length("abstract") > 0).alias("has_abstract"), "citation_index")
+    out = audit.exported(p, cites)
+    return out.select("paper_id", F.length("title").cast("long").alias("title_chars"), F.length("abstract").cast("long").alias("abstract_chars"), "has_fulltext", F.col("fulltext_chars").cast("long").alias("fulltext_chars"), "citation_index")
+
+
+@query
+def year_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the last twelve years as text."""
+    return audit.year_text(table(spark, sf_dir, "documents").select((1990 + F.col("doc_id") % 30).cast("int").alias("year")))
+
+
+@query
+def quality_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weaknesses and highlights of the scorecard."""
+    return audit.remarks(_inputs(spark, sf_dir), ["Hub one", "Hub two"], 2)
+
+
+@query
+def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts of parsed texts whose lines stand under preferred, skipped and other headings."""
+    d = table(spark, sf_dir, "documents")
+    names = F.array(*(F.lit(x) for x in ("Methods", "References", "2. Results", "Thanks", "Discussion")))
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x, i: F.struct(F.element_at(names, (i % 5 + 1).cast("int")).alias("heading"), F.lit(1).alias("level"), F.trim(x).alias("text")))
+    captions = F.array(F.struct(F.lit("Fig. 1 of it").alias("caption")))
+    none = F.array().cast("array<struct<caption:string,rows:array<string>>>")
+    parsed = F.struct(F.when(F.col("doc_id") % 2 == 0, "An abstract.").otherwise("").alias("abstract"), lines.alias("sections"), captions.alias("figures"), none.alias("tables"))
+    return d.select("doc_id", F.md5(F.coalesce(sections.extract_body(parsed, 900), F.lit("-"))).alias("extract_md5"))
 
 
 @query

@@ -3,13 +3,16 @@
 Iterative operators cut lineage by writing Parquet below the folder named in
 ``spark.checkpoint.dir`` and reading it back, so a lost executor costs one
 task retry and never a recomputation from the start.  When the setting is
-absent (unit tests) a folder of this process is used and the setting is left
-alone.
+absent on a local master (unit tests) a folder of this process is used and the
+setting is left alone; on a cluster its absence is an error, as executors do not
+see each other's folders.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -23,12 +26,17 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's, or a local one if none is set."""
+    """Folder for intermediate tables: the cluster's, or on a local master one of this process if none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="citeweave-"))
+        folder = tempfile.mkdtemp(prefix="citeweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_ROOT.append("file://" + folder)
     return _LOCAL_ROOT[0]
 
 

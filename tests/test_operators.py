@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.config import Settings, settings_from_env
 from citeweave.operators import audit, dedup, enrich, graph, ranking, record_store, sections, topics
-from citeweave.schemas import PAPERS
+from citeweave.schemas import FULLTEXT_STRUCT, PAPERS
 from citeweave.sources import cache, payloads
 
 
@@ -161,8 +161,21 @@ def test_sections_and_tables(spark):
     assert got[1].tables[0].caption.startswith("Table 1") and got[1].tables[0].rows == ["A  1  2", "B  3  4"]
     assert got[2].parse_method == "empty" and got[3].parse_method == "empty" and got[4].sections[0].text == "plain"
     assert got[5].tables[0].rows == []
-    assert len(sections.extract_body({"abstract": "y" * 50, "sections": [{"heading": "2 Methods", "text": "z" * 900}]}, 120)) <= 200
-    assert sections.extract_body(None) is None
+    parsed = lambda s: spark.range(1).select(F.from_json(F.lit(s), FULLTEXT_STRUCT).alias("s")).select(sections.extract_body(F.col("s"), 120).alias("t")).first().t
+    assert len(parsed('{"abstract": "' + "y" * 50 + '", "sections": [{"heading": "2 Methods", "text": "' + "z" * 900 + '"}]}')) <= 200
+    assert parsed("{}") is None
+    long = parsed('{"abstract": "a", "sections": [{"heading": "Thanks", "text": "no"}, {"heading": "Methods", "text": "m"}, {"heading": "References", "text": "r"}, {"heading": "3 Results", "text": "q"}], "figures": [{"caption": "Fig. 1"}]}')
+    assert long == "## 摘要\na\n\n## Methods\nm\n\n## 3 Results\nq\n\n\n## 图表线索\n- 图：Fig. 1"
+
+
+def test_betweenness_by_levels(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = spark.createDataFrame(sorted({tuple(rng.sample(range(30), 2)) for _ in range(55)}), "src long, dst long")
+    nodes = spark.range(32).withColumnRenamed("id", "node")
+    held = {r.node: r.between for r in graph.betweenness(nodes, edges).collect()}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    levels = {r.node: r.between for r in graph.betweenness(nodes, edges).collect()}
+    assert set(held) == set(levels) and max(held.values()) > 0 and all(abs(held[n] - levels[n]) < 1e-9 for n in held)
 
 
 def test_audit(spark):
