@@ -15,6 +15,8 @@ from ..storage import Store
 from .components import connected_components
 
 DAMPING, ITERATIONS = 0.85, 60
+#: Rounds of PageRank whose tables are dropped together.
+DROP_EVERY = 10
 #: Graphs of at most this many edges are ranked in one task, where a round costs no shuffle.
 LOCAL_EDGES = 200_000
 #: Betweenness holds graphs of at most this many edges beside each task; larger ones are walked level by level with joins.
@@ -54,7 +56,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, itera
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         new = F.lit((1 - damping) / max(n, 1) + damping * loose / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))
         ranks = store.put(base.join(given, "node", "left").select("node", "out", new.alias("rank")), f"ranks{i}")
-        store.drop(f"ranks{i - 2}")
+        if i % DROP_EVERY == DROP_EVERY - 1:
+            store.drop(*(f"ranks{j}" for j in range(i - DROP_EVERY, i)))
     return ranks.select("node", "rank")
 
 

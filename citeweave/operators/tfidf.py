@@ -22,7 +22,8 @@ STOP_WORDS = tuple(
     "no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these "
     "they this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
 )
-TOKEN = r"(?U)\b\w\w+\b"
+#: Runs are taken whole from left to right, so their ends need no test.
+TOKEN = r"(?U)\w\w+"
 #: Key of the query among the documents.
 QUERY = "\0query"
 
