@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bigrams
 from ..storage import Store
 
 # Own list of function words; a parameter everywhere.
@@ -44,13 +45,18 @@ def terms_of(text: Column, v: Vectorizer) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)), lambda w: ~w.isin(*v.stop_words))
     if v.ngrams == 1:
         return words
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+    # The words are bound to a variable, as each mention of an expression is computed anew.
+    return F.transform(F.array(words), lambda w: F.concat(w, bigrams(w)))[0]
 
 
 def term_counts(docs: DataFrame, v: Vectorizer, doc: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, term, tf)."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(terms_of(F.col(text), v)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf).
+
+    Texts are dealt by document before they are taken apart, so that the counts
+    need no shuffle of their own: a text is smaller than its terms.
+    """
+    dealt = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc")
+    return dealt.select("doc", F.explode(terms_of(F.col("text"), v)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def features(counts: DataFrame, n_docs: int, v: Vectorizer, store: Store) -> DataFrame:

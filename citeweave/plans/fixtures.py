@@ -27,13 +27,14 @@ def papers_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = first_line(F.col("text"))
     rest = F.substring(F.col("text"), F.length(line) + 2, F.length("text"))
     low = F.concat(F.lit(" "), _collapse(F.lower("text")), F.lit(" "))
-    hit = lambda q: F.when(F.array_join(F.array(*(F.contains(low, F.lit(f" {w} ")).cast("int") for w in q.split())), "").rlike("^1+$"), F.lit(q))
+    hit = lambda t, q: F.when(F.array_join(F.array(*(F.contains(t, F.lit(f" {w} ")).cast("int") for w in q.split())), "").rlike("^1+$"), F.lit(q))
+    matched = F.transform(F.array(low), lambda t: F.array_compact(F.array(*(hit(t, q) for q in QUERIES))))[0]
     return docs.select(
         F.col("doc_id").alias("pos"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("paper_id"), _collapse(line).alias("title"), _collapse(rest).alias("abstract"),
         (2000 + F.col("doc_id") % 25).cast("int").alias("year"), (F.col("doc_id") * 7919 % 500).alias("citation_count"), "source", "lang",
         F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pdf_url"), F.lit("").alias("venue"), F.lit("").alias("url"),
         F.array(F.concat(F.lit("Author"), (F.col("doc_id") % 7).cast("string"), F.lit(" Name"), (F.col("doc_id") % 11).cast("string"))).alias("authors"),
-        F.array_compact(F.array(*(hit(q) for q in QUERIES))).alias("matched_queries"),
+        matched.alias("matched_queries"),
     )
 
 
