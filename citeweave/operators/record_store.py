@@ -93,6 +93,18 @@ class RecordStore:
         rows = self.read()
         return None if rows is None else rows.filter(F.col("key") == key)
 
+    def recall(self, queries: list[str], top_k: int) -> DataFrame | None:
+        """Stored records nearest to the queries, ``top_k`` of each, by query and score, each key once, numbered by ``pos``; None without a version."""
+        rows = self.read()
+        if rows is None:
+            return None
+        asked = self.spark.createDataFrame(list(enumerate(dict.fromkeys(queries))), "query int, text string")
+        best = recall(rows.select(F.col("key").alias("doc"), F.concat_ws(" ", "title", "abstract").alias("text")), asked, top_k)
+        # At most top_k rows a query from here on.
+        first = best.groupBy("doc").agg(F.min(F.struct("query", -F.col("score"))).alias("at"))
+        placed = first.select(F.col("doc").alias("key"), (F.row_number().over(Window.orderBy("at", "doc")) - 1).cast("long").alias("pos"))
+        return rows.filter(~blank(F.col("paper_id"))).join(F.broadcast(placed), "key").select("pos", *PERSISTED)
+
     def reset(self) -> None:
         """Drop all versions."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -12,6 +12,7 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,7 @@ class ReviewState:
     """What the stages share; the append-only lists are never rewritten."""
 
     topic: str
+    since_date: str | None = None
     queries: list[str] = field(default_factory=list)
     pending: list[str] = field(default_factory=list)
     papers: DataFrame | None = None
@@ -65,6 +67,18 @@ def strip_marks(text: str, allowed: set[int]) -> str:
     return _MARK.sub(lambda m: m[0] if int(m[1]) in allowed else "", text)
 
 
+def since_year(since_date: str | None, lookback_days: int, today: date | None = None) -> int:
+    """Least year of an incremental run: that of the date given (its first four digits), or of the day the window opens."""
+    digits = re.sub(r"\D", "", since_date or "")
+    return int(digits[:4]) if len(digits) >= 4 else ((today or date.today()) - timedelta(days=lookback_days)).year
+
+
+def follow(first: DataFrame, then: DataFrame, columns: list[str]) -> DataFrame:
+    """The records of both, ``then`` with positions after those of ``first``."""
+    top = first.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0] + 1
+    return first.unionByName(then.withColumn("pos", F.col("pos") + top), allowMissingColumns=True).select(*columns)
+
+
 class Review:
     """One run; ``search`` gives records (with the schema's columns) for queries."""
 
@@ -125,11 +139,16 @@ class Review:
     def retrieve(self, s: ReviewState) -> None:
         s.retrieval_round += 1
         limit = min(100, self.settings.results_per_query * s.retrieval_round)
-        fresh = self.search(s.pending or s.queries, self.settings.with_overrides(results_per_query=limit))
+        asked = s.pending or s.queries or [s.topic]
+        # Records of earlier runs come before those found now; the window holds for the latter alone.
+        known = self.store.recall(asked, self.settings.recall_top_k) if self.store else None
+        fresh = self.search(asked, self.settings.with_overrides(results_per_query=limit))
+        if self.settings.incremental:
+            fresh = fresh.filter(F.coalesce("year", F.lit(0)) >= since_year(s.since_date, self.settings.lookback_days))
         s.pending = []
-        if s.papers is not None:
-            top = s.papers.agg(F.coalesce(F.max("pos"), F.lit(-1))).first()[0] + 1
-            fresh = s.papers.unionByName(fresh.withColumn("pos", F.col("pos") + top), allowMissingColumns=True).select(*s.papers.columns)
+        for before in (known, s.papers):
+            if before is not None:
+                fresh = follow(before, fresh, (s.papers if s.papers is not None else fresh).columns)
         pool = dedup.dedup_papers(fresh)
         stored = self.store.read() if self.store else None
         s.papers = self.tables.put(hydrate(pool, stored) if stored is not None else pool, f"pool{s.retrieval_round}-{s.critic_round}")

@@ -5,7 +5,8 @@ import re
 
 from citeweave.config import Settings
 from citeweave.plans.model import OfflineModel, ask_many
-from citeweave.plans.review import Review, ReviewState
+from citeweave.operators.record_store import RecordStore
+from citeweave.plans.review import Review, ReviewState, since_year
 from citeweave.streaming.ingest import start_ingest
 from test_operators import papers
 
@@ -29,6 +30,31 @@ def test_end_to_end(spark):
     assert run.resume(state, "ok")
 
 
+def test_recall_and_window(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    assert RecordStore(spark, root).recall(["protein"], 3) is None
+    RecordStore(spark, root).write(pool(spark))
+    best = RecordStore(spark, root).recall(["protein energy", "protein", "protein"], 3).orderBy("pos").collect()
+    assert [r.pos for r in best] == list(range(len(best))) and 3 <= len(best) <= 6
+    assert len({r.paper_id for r in best}) == len(best) and all("protein" in r.title for r in best)
+
+    found = papers(spark, [{"paper_id": f"n{y}", "title": f"Fresh finding of {y}", "abstract": "x", "year": y} for y in (2019, 2021, 2022)] + [{"paper_id": "n0", "title": "Undated finding", "abstract": "x"}])
+    run = Review(spark, lambda queries, settings: found, Settings(incremental=True, recall_top_k=2), store_root=root)
+    state = ReviewState("image segmentation", since_date="2021-06-30", queries=["image segmentation"])
+    run.retrieve(state)
+    ids = [r.paper_id for r in state.papers.orderBy("pos").collect()]
+    assert ids[-2:] == ["n2021", "n2022"] and len(ids) == 4  # two of the store come first, older and undated ones go
+    run.retrieve(state)
+    assert state.papers.count() == 4
+
+
+def test_since_year():
+    from datetime import date
+
+    assert since_year("2023-01-01", 180) == 2023 and since_year(None, 180, date(2024, 3, 1)) == 2023
+    assert since_year("n/a", 10, date(2024, 3, 1)) == 2024
+
+
 def test_guard_and_deadline(spark):
     def broken(queries, settings):
         raise RuntimeError("no source")
