@@ -266,6 +266,29 @@ def test_jaccard_join(spark, none, size, percent):
     assert jaccard_join.linked_components(none, size, percent).count() == 0
 
 
+def test_jaccard_join_splits_long_lists(spark, monkeypatch):
+    """A cloud of texts just below the threshold of each other, with lists, clusters and shingles cut into many parts."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(100)], {}
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            w[rng.randrange(len(w))] = word()
+        texts[i] = " ".join(w)
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    met = []
+    real = jaccard_join._in_groups
+    monkeypatch.setattr(jaccard_join, "_in_groups", lambda rows, *rest: met.append(rows.count()) or real(rows, *rest))
+    for name, value in (("LIST_PART", 2), ("CLUSTER_PART", 3), ("SMALL_CLUSTER", 4), ("HOT_SHARE", 500)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_components(frame).collect()}
+    assert got == brute_components(texts, 3, 90) and 1 < len({c for _, c in got.values()}) < 60
+    assert len(met) == 2 and min(met) > 500
+
+
 def test_jaccard_edges(spark, docs, texts):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.linked_components(docs).collect()), key=str)
     by = {d: (n, c) for d, n, c in got}
