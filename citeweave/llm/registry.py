@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, jaccard_join
+from . import cover_tree, decontamination, jaccard_join, resampling
 from .chunk_dedup import op3_substring_dedup
 from .hilbert import op5_sharding_hilbert
 from .media import op1_media_flac
@@ -27,6 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_qda": op10_quality_qda,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": cover_tree.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op6_exact_topk": cover_tree.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op13_importance_resampling": resampling.ORACLE,
+}

@@ -12,6 +12,9 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 # Fixed value: white space is these bytes and no others; letters A-Z are lower-cased and no others.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+# Fixed value: letters and digits are 0-9, A-Z, a-z and every byte of a non-ASCII character.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,12 +48,12 @@ class Words:
     hash: np.ndarray
 
 
-def words_of(texts: list[bytes]) -> Words:
-    """Split documents into words and hash them; words never span documents."""
+def word_spans(texts: list[bytes], inside: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(raw bytes, document starts, word starts, word ends, word owners) of runs of the bytes marked in ``inside``."""
     sizes = np.array([len(t) for t in texts], np.int64)
     doc_start = np.concatenate([[0], np.cumsum(sizes)])
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    full = ~SPACES[raw]
+    full = inside[raw]
     before = np.concatenate([[False], full[:-1]]) if len(raw) else full
     inner = doc_start[:-1][sizes > 0]
     if len(inner):
@@ -60,7 +63,12 @@ def words_of(texts: list[bytes]) -> Words:
     if len(inner):
         after[doc_start[1:][sizes > 0] - 1] = False
     end = np.nonzero(full & ~after)[0] + 1
-    doc = np.searchsorted(doc_start, start, side="right") - 1
+    return raw, doc_start, start, end, np.searchsorted(doc_start, start, side="right") - 1
+
+
+def words_of(texts: list[bytes], inside: np.ndarray = ~SPACES) -> Words:
+    """Split documents into words and hash them; words never span documents."""
+    raw, doc_start, start, end, doc = word_spans(texts, inside)
     power, inverse = _power_tables(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * inverse[: len(raw)])])
     return Words(raw, doc_start, start, end, doc, mix64((sums[end] - sums[start]) * power[end]))
