@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, decontamination, jaccard_join, resampling
+from . import conversation_repair, cover_tree, decontamination, jaccard_join, resampling
 from .chunk_dedup import op3_substring_dedup
 from .hilbert import op5_sharding_hilbert
 from .media import op1_media_flac
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_qda": op10_quality_qda,
     "op11_decontamination": decontamination.op11_decontamination,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
@@ -35,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_exact_topk": cover_tree.ORACLE,
     "op11_decontamination": decontamination.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_importance_resampling": resampling.ORACLE,
 }
