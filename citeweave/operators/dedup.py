@@ -1,16 +1,18 @@
 """Entity resolution: ordered first-hit grouping of records by keys, and field merging.
 
 A record joins the group of the first of its keys (by priority) that an
-earlier record has claimed, and claims those of its keys still free.  This is
-not transitive, so connected components over shared keys are only used to cut
-the input into independent parts; within one, the fold is replayed in order.
-Records with equal key lists always fall into one group, so a part holds each
-key list once however many copies there are.
+earlier record has claimed, and claims those of its keys still free.  A key is
+therefore claimed by the first record that holds it, and for that record's
+group.  So a record has one *parent*, the first holder of its first key that an
+earlier record holds, and its group is its parent's: the fold is a forest of
+pointers to earlier records, and following them to their roots settles all
+records at once, in as many rounds as the longest chain has binary digits.
+Records with equal key lists always fall into one group, so each key list
+counts once however many copies there are.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..functions.identifiers import entity_keys
 from ..functions.text import blank, filled
 from ..storage import Store
 from .components import connected_components
+from .joins import follow, lookup
 
 
 def with_keys(papers: DataFrame) -> DataFrame:
@@ -27,47 +30,35 @@ def with_keys(papers: DataFrame) -> DataFrame:
     return papers.filter(~blank(F.col("title"))).withColumn("keys", F.when(F.size(keys) > 0, keys).otherwise(alone))
 
 
-def fold_groups(rows: list[tuple[int, list[str]]]) -> dict[int, int]:
-    """First-hit fold over (pos, keys) in order of pos; maps pos to its group's first pos."""
-    claimed: dict[str, int] = {}
-    found: dict[int, int] = {}
-    for pos, keys in sorted(rows):
-        group = next((claimed[k] for k in keys if k in claimed), pos)
-        found[pos] = group
-        for k in keys:
-            claimed.setdefault(k, group)
-    return found
+def parents(lists: DataFrame, store: Store) -> DataFrame:
+    """(node, parent) of key lists (first_pos, keys): the record whose group each joins, itself if none is earlier."""
+    ids = store.put(lists.select("first_pos", F.posexplode("keys").alias("i", "key")), "ids")
+    # A key of one list connects nothing.
+    spread = ids.groupBy("key").agg(F.min("first_pos").alias("holder"), F.max("first_pos").alias("last")).filter("holder < last")
+    held = store.put(spread.select("key", "holder"), "holders")
+    earlier = lookup(ids, held, "key", store, "hot-keys").filter("holder < first_pos")
+    joined = earlier.groupBy("first_pos").agg(F.min_by("holder", "i").alias("parent"))
+    return lists.join(joined, "first_pos", "left").select(F.col("first_pos").alias("node"), F.coalesce("parent", "first_pos").alias("parent"))
 
 
 def assign_groups(papers: DataFrame, mode: str = "ordered") -> DataFrame:
     """Records with ``group_id``, the position of their group's first record.
 
-    ``mode`` "ordered" replays the fold; "components" (an extra) takes plain
+    ``mode`` "ordered" is the fold; "components" (an extra) takes plain
     connected components over shared keys.
     """
     store = Store(papers.sparkSession, "dedup")
     titled = with_keys(papers)
     keyed = store.put(titled.select("pos", "keys"), "keyed")
     lists = store.put(keyed.groupBy("keys").agg(F.min("pos").alias("first_pos")), "lists")
-    ids = lists.select("first_pos", F.explode("keys").alias("key"))
-    # A key of one list connects nothing.
-    hubs = ids.groupBy("key").agg(F.min("first_pos").alias("hub"), F.max("first_pos").alias("last")).filter("hub < last").select("key", "hub")
-    edges = ids.join(hubs, "key").select(F.col("first_pos").alias("a"), F.col("hub").alias("b"))
-    parts = connected_components(edges, store).select(F.col("node").alias("first_pos"), "component")
-    placed = lists.join(parts, "first_pos", "left").withColumn("component", F.coalesce("component", "first_pos"))
     if mode == "components":
-        groups = placed.select("keys", F.col("component").alias("group_id"))
+        ids = lists.select("first_pos", F.explode("keys").alias("key"))
+        hubs = ids.groupBy("key").agg(F.min("first_pos").alias("hub"), F.max("first_pos").alias("last")).filter("hub < last").select("key", "hub")
+        edges = ids.join(hubs, "key").select(F.col("first_pos").alias("a"), F.col("hub").alias("b"))
+        roots = connected_components(edges, store).select(F.col("node").alias("first_pos"), F.col("component").alias("root"))
     else:
-
-        def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = fold_groups([(p, list(k)) for p, k in zip(pdf["first_pos"], pdf["keys"], strict=True)])
-            return pd.DataFrame({"first_pos": list(found), "group_id": list(found.values())})
-
-        # Only parts of several key lists need the fold.
-        size = placed.groupBy("component").count()
-        several = placed.join(size.filter("count > 1"), "component", "left_semi")
-        folded = several.groupBy("component").applyInPandas(replay, "first_pos long, group_id long")
-        groups = placed.join(folded, "first_pos", "left").select("keys", F.coalesce("group_id", "first_pos").alias("group_id"))
+        roots = follow(parents(lists, store), store).select(F.col("node").alias("first_pos"), "root")
+    groups = lists.join(roots, "first_pos", "left").select("keys", F.coalesce("root", "first_pos").alias("group_id"))
     placed_rows = store.put(keyed.join(groups, "keys").select("pos", "group_id"), "groups")
     return titled.drop("keys").join(placed_rows, "pos")
 

@@ -172,6 +172,14 @@ SELECT n AS pos, CASE n % 6 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar
   CASE WHEN n % 6 = 0 AND NOT broken THEN 'W' || k ELSE '' END AS openalex_id, CASE WHEN n % 6 = 0 AND NOT broken THEN 'https://x.org/W' || (n + 6) ELSE '' END AS refs, 'q' AS queries
 FROM e""",
     "dedup_groups": f"WITH {_GROUPS} SELECT pos, group_id FROM grp",
+    "dedup_bridge": """
+WITH RECURSIVE k AS (
+  SELECT o_orderkey AS pos, 1 AS i, 'doi:' || o_custkey AS key FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey, 2, strftime(o_orderdate, '%Y%m%d') || o_orderpriority FROM orders
+), h AS (SELECT key, min(pos) AS holder FROM k GROUP BY key),
+p AS (SELECT pos, coalesce(arg_min(holder, i) FILTER (holder < pos), pos) AS parent FROM k JOIN h USING (key) GROUP BY pos),
+walk(pos, top) AS (SELECT pos, parent FROM p UNION ALL SELECT w.pos, p.parent FROM walk w JOIN p ON p.pos = w.top WHERE p.parent <> p.pos)
+SELECT pos, min(top) AS group_id FROM walk GROUP BY pos""",
     "dedup_merge": f"WITH {_MERGED} SELECT m.pos, paper_id, md5(abstract) AS abstract_md5, citation_count, year, source, coalesce(queries, '') AS queries FROM merged m LEFT JOIN ql ON ql.group_id = m.pos",
     "tfidf_relevance": f"WITH {RELEVANCE} SELECT pos, round(relevance, 5) AS relevance FROM rel",
     "relevance_gate": f"""WITH {RELEVANCE}, r AS (SELECT pos, round(relevance, 4) AS relevance FROM rel),
