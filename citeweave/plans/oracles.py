@@ -157,9 +157,9 @@ SELECT doc_id, CASE WHEN regexp_matches(q, '^(ti|abs|au|cat|all):') THEN q WHEN
        rtrim(substr(trim(regexp_replace(regexp_replace(q, '[,:|()\[\]{{}}<>"''&+]', ' ', 'g'), '\s+', ' ', 'g')), 1, 110)) AS filter_value FROM b""",
     "source_fanout_union": r"""
 WITH d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS k, 'On ' || md5(text) AS t, CAST(2000 + doc_id % 25 AS BIGINT) AS y, doc_id % 2 = 1 AS odd, doc_id % 97 = 0 AS broken, source AS src FROM documents),
-e AS (SELECT * FROM d WHERE n % 6 <= 4 AND (NOT broken OR n % 6 <= 2))
+e AS (SELECT * FROM d WHERE n % 6 <= 4)
 SELECT n AS pos, CASE n % 6 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar' WHEN 2 THEN 'crossref' WHEN 3 THEN 'arxiv' ELSE 'pubmed' END AS source,
-  CASE WHEN broken THEN CASE n % 6 WHEN 0 THEN 'openalex:' WHEN 1 THEN '' ELSE 'crossref:' END
+  CASE WHEN broken THEN CASE n % 6 WHEN 0 THEN 'openalex:' WHEN 2 THEN 'crossref:' ELSE '' END
        ELSE CASE n % 6 WHEN 0 THEN CASE WHEN odd THEN 'doi:10.1/a' || k ELSE 'openalex:W' || k END WHEN 1 THEN CASE WHEN n % 4 = 0 THEN 'doi:10.1/b' || k WHEN odd THEN 'arxiv:2301.' || k ELSE 's2:' || k END
             WHEN 2 THEN 'doi:10.2/' || k WHEN 3 THEN 'arxiv:2301.' || k ELSE 'doi:10.3/' || k END END AS paper_id,
   CASE WHEN broken THEN '' ELSE t END AS title, CASE WHEN NOT broken THEN y END AS year,
@@ -167,7 +167,7 @@ SELECT n AS pos, CASE n % 6 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar
   CASE WHEN broken OR n % 6 >= 3 THEN 0 ELSE n % 500 END AS citation_count,
   CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN 'first words of words' WHEN 1 THEN coalesce(src, '') WHEN 2 THEN 'things of ' || k || '.' WHEN 3 THEN 'an abstract' ELSE 'one two' END END AS abstract,
   CASE WHEN broken THEN NULL ELSE CASE n % 6 WHEN 0 THEN CASE WHEN odd THEN '10.1/a' || k END WHEN 1 THEN CASE WHEN n % 4 = 0 THEN '10.1/b' || k END WHEN 2 THEN '10.2/' || k WHEN 4 THEN '10.3/' || k END END AS doi,
-  CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN 'N ' || k WHEN 1 THEN '|Q ' || k WHEN 2 THEN 'G F' || k WHEN 3 THEN 'X ' || k ELSE 'Fo L' || k END END AS authors,
+  CASE WHEN broken THEN '' ELSE CASE n % 6 WHEN 0 THEN 'N ' || k WHEN 1 THEN '|Q ' || k WHEN 2 THEN 'G F' || k WHEN 3 THEN 'X ' || k ELSE 'Fo L' || k || '|Group|Y Z Last' END END AS authors,
   CASE WHEN broken THEN '' WHEN n % 6 = 1 AND odd THEN 'https://arxiv.org/pdf/2301.' || k WHEN n % 6 = 3 THEN 'https://arxiv.org/pdf/2301.' || k ELSE '' END AS pdf_url,
   CASE WHEN n % 6 = 0 AND NOT broken THEN 'W' || k ELSE '' END AS openalex_id, CASE WHEN n % 6 = 0 AND NOT broken THEN 'https://x.org/W' || (n + 6) ELSE '' END AS refs, 'q' AS queries
 FROM e""",

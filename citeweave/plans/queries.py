@@ -91,12 +91,12 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     atom = text("<entry xmlns='http://www.w3.org/2005/Atom'><id>http://arxiv.org/abs/2301.", k, "v2</id><title>", title, "</title><published>", year, "-01-02</published><author><name>X ", k, "</name></author><summary> an  abstract </summary></entry>")
     medline = text(
         "<PubmedArticle><PMID>", k, "</PMID><Article><ArticleTitle>", title, "</ArticleTitle><Abstract><AbstractText>one</AbstractText><AbstractText>two</AbstractText></Abstract><Journal><Title>J</Title><JournalIssue><PubDate><MedlineDate>", year,
-        " Jan</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>L", k, "</LastName><ForeName>Fo</ForeName></Author></AuthorList><ELocationID EIdType='doi'>10.3/", k, "</ELocationID></Article></PubmedArticle>",
+        " Jan</MedlineDate></PubDate></JournalIssue></Journal><AuthorList><Author><LastName>L", k, "</LastName><ForeName>Fo</ForeName></Author><Author><LastName>Group</LastName></Author><Author><Initials>Y Z</Initials><LastName>Last</LastName></Author></AuthorList><ELocationID EIdType='doi' ValidYN='N'>10.3/no</ELocationID><ELocationID EIdType='doi'>10.3/", k, "</ELocationID></Article></PubmedArticle>",
     )
     broken = n % 97 == 0
     source = F.element_at(F.array(*(F.lit(x) for x in SOURCES)), (n % 6 + 1).cast("int"))
-    payload = F.when(broken, "{").when(n % 6 == 0, openalex).when(n % 6 == 1, scholar).when(n % 6 == 2, crossref).when(n % 6 == 3, atom).when(n % 6 == 4, medline).otherwise("{}")
-    return d.filter(~broken | (n % 6).isin(0, 1, 2)).select(source.alias("source"), F.lit("q").alias("query"), payload.alias("payload"), n.alias("pos"))
+    payload = F.when(broken & (n % 6 == 3), F.substring(atom, 1, 150)).when(broken & (n % 6 == 4), text(medline, "<Article>")).when(broken, "{").when(n % 6 == 0, openalex).when(n % 6 == 1, scholar).when(n % 6 == 2, crossref).when(n % 6 == 3, atom).when(n % 6 == 4, medline).otherwise("{}")
+    return d.select(source.alias("source"), F.lit("q").alias("query"), payload.alias("payload"), n.alias("pos"))
 
 
 #: Sources of the payloads above, the last of them unknown.

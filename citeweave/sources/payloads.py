@@ -2,7 +2,7 @@
 
 Each parser takes a DataFrame with ``payload`` (one work or entry per row),
 ``query`` and ``pos`` and returns the record columns; a payload that does not
-parse gives a record without a title, which deduplication drops.
+parse, JSON or XML, gives a record without a title, which deduplication drops.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import last_segment, normalize_doi, rebuild_abstract, title_fingerprint, unversioned_id
 from ..functions.text import blank, clean_text, filled, strip_markup
+from .xml_fields import atom_fields, medline_fields
 
 MOST_AUTHORS = 20
 
@@ -85,53 +86,46 @@ def parse_crossref(df: DataFrame) -> DataFrame:
     )
 
 
-def _x(path: str) -> Column:
-    """Text at an XPath of the payload, by local names."""
-    return F.xpath_string(F.col("payload"), F.lit(path))
-
-
-def _local(*names: str) -> str:
-    return "/".join(f"*[local-name()='{n}']" for n in names)
-
-
 def parse_arxiv(df: DataFrame) -> DataFrame:
     """Atom entries; the year is that of publication, the PDF link is made up where it is not given."""
-    aid = unversioned_id(F.substring_index(_x("/" + _local("entry", "id")), "/abs/", -1))
-    published = F.substring(_x("/" + _local("entry", "published")), 1, 4)
-    names = F.filter(F.transform(F.xpath(F.col("payload"), F.lit("/" + _local("entry", "author", "name") + "/text()")), clean_text), lambda n: n != "")
-    pdf = F.coalesce(filled(_x("/" + _local("entry") + "/*[local-name()='link' and @title='pdf']/@href")), F.concat(F.lit("https://arxiv.org/pdf/"), aid))
+    w = F.col("w")
+    df = df.withColumn("w", atom_fields("payload"))
+    aid = F.when(w["sound"], unversioned_id(F.substring_index(w["id"], "/abs/", -1)))
+    published = F.substring(F.trim(w["published"]), 1, 4)
     return make_paper(
-        df, paper_id=F.concat(F.lit("arxiv:"), aid), title=_x("/" + _local("entry", "title")), authors=names, year=F.when(published.rlike(r"^\d{4}$"), published.try_cast("int")),
-        venue=F.coalesce(filled(clean_text(_x("/" + _local("entry", "journal_ref")))), F.lit("arXiv preprint")), abstract=_x("/" + _local("entry", "summary")), url=F.concat(F.lit("https://arxiv.org/abs/"), aid),
-        pdf_url=pdf, doi=_x("/" + _local("entry", "doi")), source=F.lit("arxiv"),
+        df, paper_id=F.concat(F.lit("arxiv:"), aid), title=w["title"], authors=F.filter(F.transform(w["authors"], clean_text), lambda n: n != ""), year=F.when(published.rlike(r"^\d{4}$"), published.try_cast("int")),
+        venue=F.when(w["sound"], F.coalesce(filled(clean_text(w["journal"])), F.lit("arXiv preprint"))), abstract=w["summary"], url=F.concat(F.lit("https://arxiv.org/abs/"), aid),
+        pdf_url=F.coalesce(filled(w["pdf"]), F.concat(F.lit("https://arxiv.org/pdf/"), aid)), doi=w["doi"], source=F.lit("arxiv"),
     )
 
 
 def parse_pubmed(df: DataFrame, open_access: DataFrame | None = None) -> DataFrame:
-    """Medline articles, left-joined with a table (pmid, pdf_url) of open texts."""
-    root = "//*[local-name()='Article']"
-    pmid = _x("//PMID")
+    """Medline articles, left-joined with a table (pmid, pdf_url) of open texts; DOIs marked as not valid are passed over."""
+    w, none = F.col("w"), F.lit(None).cast("string")
+    df = df.withColumn("w", medline_fields("payload")).withColumn("_pmid", filled(clean_text(w["pmid"]))).withColumn("_pdf", none)
     if open_access is not None:
-        df = df.withColumn("_pmid", pmid).join(open_access.select(F.col("pmid").alias("_pmid"), F.col("pdf_url").alias("_pdf")), "_pmid", "left")
-    segments = F.xpath(F.col("payload"), F.lit("//Abstract/AbstractText//text()"))
-    last = F.xpath(F.col("payload"), F.lit("//Author/LastName/text()"))
-    fore = F.xpath(F.col("payload"), F.lit("//Author[LastName]/ForeName/text() | //Author[LastName][not(ForeName)]/Initials/text()"))
-    names = F.zip_with(last, fore, lambda a, b: clean_text(F.concat_ws(" ", b, a)))
-    dois = F.filter(F.transform(F.xpath(F.col("payload"), F.lit("//ELocationID[@EIdType='doi']/text() | //ArticleId[@IdType='doi']/text()")), normalize_doi), lambda d: d.isNotNull())
-    year = F.coalesce(*(F.when(c.rlike(r"^\d{4}"), F.substring(c, 1, 4).try_cast("int")) for c in (_x(root + "/ArticleDate/Year"), _x(root + "//PubDate/Year"), _x(root + "//PubDate/MedlineDate"))))
-    doi = F.try_element_at(dois, F.lit(1))
+        links = open_access.groupBy(F.col("pmid").cast("string").alias("_pmid")).agg(F.min("pdf_url").alias("_pdf"))
+        df = df.drop("_pdf").join(links, "_pmid", "left")
+    pmid = F.col("_pmid")
+    name = lambda a: clean_text(F.concat_ws(" ", F.coalesce(filled(a["fore"]), a["initials"]), a["last"]))
+    doi = F.try_element_at(F.filter(F.transform(w["dois"], normalize_doi), lambda d: d.isNotNull()), F.lit(1))
+    year = F.try_element_at(F.filter(F.transform(w["years"], lambda y: F.regexp_extract(y, r"^\s*(\d{4})", 1)), lambda y: y != ""), F.lit(1)).try_cast("int")
     return make_paper(
-        df, paper_id=F.coalesce(F.concat(F.lit("doi:"), doi), F.concat(F.lit("pmid:"), pmid)), title=_x("//ArticleTitle"), authors=F.filter(names, lambda n: n != ""), year=year, venue=_x("//Journal/Title"),
-        abstract=F.array_join(segments, " "), url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")), pdf_url=F.col("_pdf") if open_access is not None else F.lit(None).cast("string"), doi=doi, source=F.lit("pubmed"),
+        df, paper_id=F.coalesce(F.concat(F.lit("doi:"), doi), F.concat(F.lit("pmid:"), pmid)), title=w["title"], authors=F.filter(F.transform(w["authors"], name), lambda n: n != ""), year=year, venue=w["journal"],
+        abstract=w["abstract"], url=F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")), pdf_url=F.col("_pdf"), doi=doi, source=F.lit("pubmed"),
     )
 
 
 PARSERS = {"openalex": parse_openalex, "semantic_scholar": parse_semantic_scholar, "crossref": parse_crossref, "arxiv": parse_arxiv, "pubmed": parse_pubmed}
 
 
-def fan_out(payloads: DataFrame, sources: tuple[str, ...]) -> DataFrame:
-    """Records of payloads (source, query, payload, pos) as a bag union over the sources in order; unknown sources give nothing."""
-    parts = [PARSERS[s](payloads.filter(F.col("source") == s).drop("source")) for s in sources if s in PARSERS]
+def fan_out(payloads: DataFrame, sources: tuple[str, ...], open_access: DataFrame | None = None) -> DataFrame:
+    """Records of payloads (source, query, payload, pos) as a bag union over the sources in order; unknown sources give nothing.
+
+    ``open_access`` (pmid, pdf_url) fills the links of Medline articles.
+    """
+    more = {"pubmed": {"open_access": open_access}}
+    parts = [PARSERS[s](payloads.filter(F.col("source") == s).drop("source"), **more.get(s, {})) for s in sources if s in PARSERS]
     if not parts:
         return make_paper(payloads.limit(0), source=F.lit(""))
     out = parts[0]

@@ -216,6 +216,23 @@ def test_payloads(spark):
     assert (got["pubmed"].paper_id, got["pubmed"].year, got["pubmed"].abstract, got["pubmed"].authors) == ("doi:10.3/e", 2017, "one two", ["Fo L"])
 
 
+def test_damaged_and_uneven_xml(spark):
+    """What is not well-formed gives a record without a title; names stay with their authors."""
+    who = "<Author><Initials>X</Initials><LastName>A</LastName></Author><Author><LastName>B</LastName></Author><Author><ForeName>Cee</ForeName><LastName>C</LastName></Author><Author><CollectiveName>G</CollectiveName></Author>"
+    what = "<ELocationID EIdType='pii'>10.9/p</ELocationID><ELocationID EIdType='doi' ValidYN='N'>10.9/n</ELocationID><ELocationID EIdType='doi'>10.9/Y</ELocationID><ArticleDate><Year>soon</Year></ArticleDate>"
+    med = f"<PubmedArticle><MedlineCitation><PMID Version='1'>7</PMID><Article><ArticleTitle>One <i>it</i> &lt;two</ArticleTitle><Abstract><AbstractText>a <b>b</b></AbstractText><AbstractText/><AbstractText>c</AbstractText></Abstract><Journal><JournalIssue><PubDate><Year>2011</Year></PubDate></JournalIssue></Journal><AuthorList>{who}</AuthorList>{what}</Article></MedlineCitation><PubmedData><ReferenceList><ArticleIdList><ArticleId IdType='doi'>10.9/ref</ArticleId></ArticleIdList></ReferenceList></PubmedData></PubmedArticle>"
+    atom = "<a:entry xmlns:a='http://www.w3.org/2005/Atom'><a:id>http://arxiv.org/abs/cs/0101v2</a:id><a:title>T</a:title><a:author><a:name/></a:author><a:author><a:name>N  M</a:name></a:author><a:link title='pdf' href='http://p'/></a:entry>"
+    bad = ["{", "", "<PubmedArticle>", med[:-5], med + "x", med + "<b/>", atom.replace("<a:title>T", "<a:title>T &nbsp;"), "<entry><title>T</title></entry", None, "<other/>"]
+    rows = [(s, "q", p, 10 * i + (s == "pubmed")) for i, p in enumerate([med, atom, *bad]) for s in ("arxiv", "pubmed")]
+    links = spark.createDataFrame([("7", "u7"), ("7", "v7"), ("8", "u8")], "pmid string, pdf_url string")
+    got = {r.pos: r for r in payloads.fan_out(spark.createDataFrame(rows, "source string, query string, payload string, pos long"), ("arxiv", "pubmed"), links).collect()}
+    assert len(got) == len(rows) and all(got[p].title == "" for p in got if p not in (1, 10))
+    assert all((got[p].venue, got[p].authors, got[p].doi, got[p].paper_id) == ("", [], None, "") for p in got if p >= 20 and p < 20 + 10 * (len(bad) - 1))
+    m, a = got[1], got[10]
+    assert (m.paper_id, m.title, m.abstract, m.authors, m.year, m.doi, m.pdf_url, m.url) == ("doi:10.9/y", "One it <two", "a b c", ["X A", "B", "Cee C"], 2011, "10.9/y", "u7", "https://pubmed.ncbi.nlm.nih.gov/7/")
+    assert (a.paper_id, a.authors, a.pdf_url, a.venue, a.year) == ("arxiv:cs/0101", ["N M"], "http://p", "arXiv preprint", None)
+
+
 def test_cache_and_retries(tmp_path):
     now = [0.0]
     store = cache.ResponseCache(str(tmp_path), 1, lambda: now[0])
