@@ -13,6 +13,7 @@ from ..functions.identifiers import last_segment
 from ..functions.text import filled
 from ..storage import Store
 from .components import connected_components
+from .joins import lookup
 
 DAMPING, ITERATIONS = 0.85, 60
 #: Rounds of PageRank whose tables are dropped together.
@@ -21,6 +22,8 @@ DROP_EVERY = 10
 LOCAL_EDGES = 200_000
 #: Betweenness holds graphs of at most this many edges beside each task; larger ones are walked level by level with joins.
 HELD_EDGES = 2_000_000
+#: Records of at most this many references that others hold too are coupled by keys of two references, larger ones by counting.
+KEYED_REFERENCES = 128
 
 
 def node_ids(papers: DataFrame) -> DataFrame:
@@ -193,10 +196,48 @@ def coupling_pairs(references: DataFrame, min_shared: int = 2) -> DataFrame:
     return pairs.filter(F.col("shared") >= min_shared)
 
 
+def coupling_links(references: DataFrame, store: Store, min_shared: int = 2, keyed: int = KEYED_REFERENCES) -> DataFrame:
+    """(a, b): links that connect the same groups as the pairs of :func:`coupling_pairs` do, without listing those pairs.
+
+    Records that share two references share a *key* of two references, and each
+    links to its key's least holder: a reference that very many records hold
+    costs each of them a few keys, and no pair.  Records of more than ``keyed``
+    references, of which there are few, are counted against the holders of
+    their references instead.  A reference that some record holds twice
+    couples all its holders to that one.  Above two shared references the pairs
+    themselves are the links.  Null records and references couple nothing.
+    """
+    if min_shared > 2:
+        return coupling_pairs(references, min_shared).select("a", "b")
+    held = store.put(references.select("paper", "ref").dropna().groupBy("ref", "paper").agg(F.count(F.lit(1)).alias("times")), "held")
+    # A reference of one record couples nothing.
+    holders = held.groupBy("ref").agg(F.min("paper").alias("least"), F.max("paper").alias("last"), F.min(F.when(F.col("times") > 1, F.col("paper"))).alias("twice")).filter("least < last")
+    shared = store.put(lookup(held, store.put(holders.drop("last"), "holders"), "ref", store, "hot-references"), "shared")
+    alone = shared.select(F.col("paper").alias("a"), F.col("least" if min_shared < 2 else "twice").alias("b")).filter("a <> b")
+    if min_shared < 2:
+        return alone
+    sizes = store.put(shared.groupBy("paper").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    sized = store.put(lookup(shared.select("paper", "ref"), sizes, "paper", store, "hot-records"), "sized")
+    lists = sized.filter(F.col("n") <= keyed).groupBy("paper").agg(F.array_sort(F.collect_list("ref")).alias("refs"))  # at most ``keyed``
+    one = lists.select("paper", "refs", F.posexplode("refs").alias("i", "r1"))
+    two = one.select("paper", "r1", F.explode(F.slice("refs", F.col("i") + 2, F.size("refs") - F.col("i") - 1)).alias("r2"))
+    keys = store.put(two.select("paper", F.struct("r1", "r2").alias("key")), "keys")
+    leads = keys.groupBy("key").agg(F.min("paper").alias("lead"), F.max("paper").alias("last")).filter("lead < last").select("key", "lead")
+    by_key = lookup(keys, store.put(leads, "leads"), "key", store, "hot-keys").select(F.col("paper").alias("a"), F.col("lead").alias("b")).filter("a <> b")
+    large = sized.filter(F.col("n") > keyed).select("ref", F.col("paper").alias("a"))
+    counted = large.join(sized.select("ref", F.col("paper").alias("b")), "ref").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
+    return alone.unionByName(by_key).unionByName(counted)
+
+
+def coupled_groups(references: DataFrame, min_shared: int = 2) -> DataFrame:
+    """(node, component) of all records that share at least ``min_shared`` references with another one."""
+    store = Store(references.sparkSession, "coupling")
+    return connected_components(coupling_links(references, store, min_shared), store)
+
+
 def coupling_gaps(references: DataFrame, covered: DataFrame, min_shared: int = 2) -> DataFrame:
     """(component, members, uncovered): strongly coupled groups with at least two records outside all clusters."""
-    pairs = coupling_pairs(references, min_shared)
-    members = connected_components(pairs.select("a", "b"), Store(references.sparkSession, "coupling"))
+    members = coupled_groups(references, min_shared)
     out = members.join(covered.select(F.col("paper").alias("node")).distinct().withColumn("inside", F.lit(1)), "node", "left")
     groups = out.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("inside").isNull(), 1)).alias("uncovered"))
     return groups.filter("members >= 2 and uncovered >= 2")
@@ -204,7 +245,7 @@ def coupling_gaps(references: DataFrame, covered: DataFrame, min_shared: int = 2
 
 def gap_sentences(references: DataFrame, papers: DataFrame, covered: DataFrame, min_shared: int = 2) -> DataFrame:
     """(component, sentence) naming the first three uncovered records by position."""
-    members = connected_components(coupling_pairs(references, min_shared).select("a", "b"), Store(references.sparkSession, "gaps"))
+    members = coupled_groups(references, min_shared)
     outside = members.join(covered.select(F.col("paper").alias("node")).distinct(), "node", "left_anti").join(papers.select(F.col("paper_id").alias("node"), "pos", "title"), "node")
     order = Window.partitionBy("component").orderBy("pos")
     first = outside.withColumn("i", F.row_number().over(order)).filter("i <= 3").groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda s: s["title"]), "、").alias("names"))

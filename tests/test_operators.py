@@ -9,6 +9,7 @@ from citeweave.config import Settings, settings_from_env
 from citeweave.operators import audit, dedup, enrich, graph, ranking, record_store, sections, topics
 from citeweave.schemas import FULLTEXT_STRUCT, PAPERS
 from citeweave.sources import cache, payloads
+from citeweave.storage import Store
 
 
 def papers(spark, rows):
@@ -115,6 +116,41 @@ def test_coupling_gaps(spark):
     assert {(r.a, r.b): r.shared for r in graph.coupling_pairs(twice).collect()} == {("W20", "W21"): 2, ("W20", "W22"): 2, ("W21", "W22"): 2}
 
 
+@pytest.mark.parametrize("min_shared,keyed", [(1, 128), (2, 128), (2, 3), (2, 1), (3, 128)])
+def test_coupling_links_connect_what_pairs_connect(spark, min_shared, keyed):
+    draw = random.Random(min_shared * 1000 + keyed)
+    rows = [(draw.randrange(60), draw.randrange(40) if draw.random() < 0.95 else 0) for _ in range(200)] + [(70, r) for r in range(30)] + [(71, 5), (71, 5), (72, 5)] + [(None, 1), (None, 2), (3, None), (4, None)]
+    refs = spark.createDataFrame(rows, "paper long, ref long")
+    pairs = [(r.a, r.b) for r in graph.coupling_pairs(refs, min_shared).collect()]
+    store = Store(spark, "links")
+    links = [(r.a, r.b) for r in graph.coupling_links(refs, store, min_shared, keyed).collect()]
+    assert pairs and roots(links) == roots(pairs)
+
+
+def test_coupling_of_a_reference_that_all_records_hold(spark):
+    """A hundred thousand records hold one reference; listing their pairs would take five thousand million rows."""
+    n = 100_000
+    ids = spark.range(n).select(F.col("id").alias("paper"))
+    refs = ids.select("paper", F.lit(-1).cast("long").alias("ref")).unionByName(ids.select("paper", F.expr("paper div 2").alias("ref")))
+    row = graph.coupled_groups(refs).groupBy("component").count().agg(F.count("*").alias("groups"), F.min("count").alias("least"), F.max("count").alias("most")).first()
+    assert (row.groups, row.least, row.most) == (n // 2, 2, 2)
+
+
+def roots(links):
+    """Least reachable node of each linked node."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {x: root(x) for x in parent}
+
+
 def test_store(spark, tmp_path):
     store = record_store.RecordStore(spark, f"file://{tmp_path}/pool")
     assert store.read() is None
