@@ -171,6 +171,9 @@ SELECT n AS pos, CASE n % 6 WHEN 0 THEN 'openalex' WHEN 1 THEN 'semantic_scholar
   CASE WHEN broken THEN '' WHEN n % 6 = 1 AND odd THEN 'https://arxiv.org/pdf/2301.' || k WHEN n % 6 = 3 THEN 'https://arxiv.org/pdf/2301.' || k ELSE '' END AS pdf_url,
   CASE WHEN n % 6 = 0 AND NOT broken THEN 'W' || k ELSE '' END AS openalex_id, CASE WHEN n % 6 = 0 AND NOT broken THEN 'https://x.org/W' || (n + 6) ELSE '' END AS refs, 'q' AS queries
 FROM e""",
+    "source_predicates": """
+SELECT doc_id AS pos, 'openalex:W' || doc_id AS paper_id, 'On ' || md5(text) AS title, 2000 + doc_id % 25 AS year, doc_id % 500 AS citation_count, 'https://x.org/W' || doc_id || '.pdf' AS pdf_url
+FROM documents WHERE doc_id % 4 <> 3 AND doc_id % 3 = 0 AND doc_id % 11 <> 0 AND 2000 + doc_id % 25 >= 2010""",
     "dedup_groups": f"WITH {_GROUPS} SELECT pos, group_id FROM grp",
     "dedup_bridge": """
 WITH RECURSIVE k AS (

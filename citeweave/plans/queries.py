@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import bibliography, citations, identifiers, jsonfix, text
 from ..operators import audit, dedup, enrich, graph, ranking, record_store, sections, tfidf, topics
-from ..sources import payloads
-from ..storage import Store
+from ..sources import payloads, works_source
+from ..storage import Store, scratch_root
 from .fixtures import QUERIES, TOPIC, flow_edges, flow_nodes, order_references, papers_docs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,23 @@ def source_fanout_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def source_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open works of three kinds from 2010 on, by predicates that the source answers, as records."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    kind = F.element_at(F.array(*(F.lit(t) for t in (*works_source.TYPES, "dataset"))), (n % 4 + 1).cast("int"))
+    link = F.concat(F.lit("https://x.org/W"), n.cast("string"))
+    answers = d.select(
+        link.alias("id"), kind.alias("type"), F.concat(F.lit("On "), F.md5("text")).alias("display_name"), F.when(n % 11 != 0, 2000 + n % 25).alias("publication_year"), (n % 500).alias("cited_by_count"),
+        F.struct((n % 3 == 0).alias("is_oa"), F.concat(link, F.lit(".pdf")).alias("oa_url")).alias("open_access"),
+    )
+    path = f"{scratch_root(spark)}/citeweave/works-{uuid.uuid4().hex[:12]}"
+    answers.write.option("maxRecordsPerFile", 100 * works_source.MOST_PAGE).json(path)
+    found = works_source.search_works(spark, path, min_year=2010, oa_only=True)
+    records = payloads.parse_openalex(found.select("payload", F.lit("q").alias("query"), F.substring_index("id", "W", -1).cast("long").alias("pos")))
+    return records.select("pos", "paper_id", "title", F.col("year").cast("long").alias("year"), "citation_count", "pdf_url")
+
+
 @query
 def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every titled record."""

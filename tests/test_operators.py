@@ -4,11 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
 
 from citeweave.config import Settings, settings_from_env
 from citeweave.operators import audit, dedup, enrich, graph, ranking, record_store, sections, topics
 from citeweave.schemas import FULLTEXT_STRUCT, PAPERS
-from citeweave.sources import cache, payloads
+from citeweave.sources import cache, payloads, works_source
 from citeweave.storage import Store
 
 
@@ -269,6 +270,31 @@ def test_damaged_and_uneven_xml(spark):
     assert (a.paper_id, a.authors, a.pdf_url, a.venue, a.year) == ("arxiv:cs/0101", ["N M"], "http://p", "arXiv preprint", None)
 
 
+def test_works_source_answers_predicates(spark, tmp_path):
+    """The reader takes the year, kind and access predicates; Spark repeats none of them, and keeps the others."""
+    rows = [
+        '{"id":"W1","type":"article","publication_year":2020,"open_access":{"is_oa":true}}', '{"id":"W2","type":"article","publication_year":2019,"open_access":{"is_oa":true}}', "{torn", "[1]", "",
+        '{"id":"W3","type":"dataset","publication_year":2021,"open_access":{"is_oa":true}}', '{"id":"W4","type":"preprint","publication_year":2022,"open_access":{"is_oa":false}}',
+        '{"id":"W5","type":"preprint","publication_year":"2022","open_access":[]}', '{"id":"W6","type":"preprint","publication_year":2023,"open_access":{"is_oa":true}}', '{"id":7,"type":"article","publication_year":2024,"open_access":{"is_oa":true}}',
+    ]
+    for i in range(0, len(rows), 4):
+        (tmp_path / f"page-{i}.json").write_text("\n".join(rows[i : i + 4]))
+    (tmp_path / "_SUCCESS").write_text("")
+    path = f"file://{tmp_path}"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = works_source.search_works(spark, path, 2020, True)
+    assert sorted(str(r.id) for r in found.collect()) == ["None", "W1", "W6"] and "Filter (" not in plan(found)
+    assert found.rdd.getNumPartitions() == 3
+    other = found.filter("id like '%6' or id = 'W1'").filter("publication_year in (2020, 2024) or is_oa is null")
+    assert [r.id for r in other.collect()] == ["W1"] and "Filter (" in plan(other)
+    assert sorted(r.id for r in works_source.works(spark, path, "id string").collect() if r.id) == ["W1", "W2", "W3", "W4", "W5", "W6"]
+    assert not works_source.works(spark, f"{path}/none").collect()
+    reader = works_source.WorksReader(None, path)
+    asked = [EqualTo(("is_oa",), True), GreaterThan(("publication_year",), 2019), IsNotNull(("is_oa",)), EqualTo(("id",), "W1")]
+    assert list(reader.pushFilters(asked)) == asked[3:] and len(reader.asked) == 3
+    assert [works_source.page_size(n) for n in (0, 25, 900)] == [1, 25, 200]
+
+
 def test_cache_and_retries(tmp_path):
     now = [0.0]
     store = cache.ResponseCache(str(tmp_path), 1, lambda: now[0])
