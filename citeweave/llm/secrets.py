@@ -14,9 +14,13 @@ follow each other are one stream.  What is found in a payload stands for all of
 it.
 
 A null text counts as empty; rows are independent, so order, ties and repeats
-do not matter; an empty table gives an empty result.  Compressed payloads are
+do not matter; an empty table gives an empty result; a null doc_id stays null.
+Texts are scanned whole, whatever their length.  Compressed payloads are
 unpacked in windows of 8 MiB that overlap by 64 KiB, so memory stays bounded
-whatever they expand to.
+whatever they expand to.  What goes on beyond a window (members, base64 runs,
+escaped text) is a stream of its own that is read from where it begins, so
+nothing is cut at a window's end but a match longer than the overlap, whose
+kind is found all the same from a part of it.
 """
 
 from __future__ import annotations
@@ -60,6 +64,17 @@ LONGEST_MAGIC = 6
 WINDOW, OVERLAP = 8 << 20, 64 << 10
 #: Bytes given to a decompressor at once; what it made of them is lost if they are damaged.
 STEP = 16
+#: Decompressors that can be copied get more at once, and the step is taken again in small ones if it meets damage.
+LONGEST_STEP, LONGEST_OUT = 64 << 10, 1 << 20
+DAMAGE = (zlib.error, OSError, lzma.LZMAError, EOFError, zstandard.ZstdError)
+
+# Runs in bytes, for streams longer than a window; a line of SHORTEST_LINE may be followed by another.
+SHORTEST_LINE = 16
+_RUN = re.compile(_BASE64.pattern.removesuffix("={0,2}").encode())
+_RUN_LINE = re.compile(rb"[A-Za-z0-9+/_-]*")
+_RUN_BREAK = re.compile(rb"\r?(?:\n[ \t]*)?")
+_PLAIN_BYTES = bytes.maketrans(b"-_", b"+/")
+LONGEST_ESCAPE = 24  # a pair of the longest ones
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,6 +105,9 @@ class Nowhere:
         return () if isinstance(at, slice) else 0
 
 
+NOWHERE = Nowhere()
+
+
 @dataclass
 class Payload:
     """Bytes with compressed members; they stand for characters first to last of the root."""
@@ -115,68 +133,213 @@ def _expander(head: bytes):
 class Stream:
     """Content of the compressed members that follow each other from a place of another stream on.
 
-    Each call unpacks anew.  ``end`` is where the last whole member ends, once a call is exhausted.
+    Each call unpacks anew.  Once a call is exhausted, ``end`` is where the last whole member ends, and ``open`` tells
+    whether the other stream ended within a member.
     """
 
     def __init__(self, source: Callable[[], Iterator[bytes]], place: int):
-        self.source, self.place, self.end = source, place, place + 1
+        self.source, self.place, self.end, self.open = source, place, place + 1, False
 
     def __call__(self) -> Iterator[bytes]:
-        machine, feed, at, skip = None, b"", self.place, self.place
-        for piece in self.source():
-            lo, skip = min(skip, len(piece)), max(0, skip - len(piece))
-            for lo in range(lo, len(piece), STEP):
-                fresh = piece[lo : lo + STEP]
-                feed, at = feed + fresh, at + len(fresh)
+        machine, feed, at, step, self.open = None, b"", self.place, STEP, True
+        for piece in _from(self.source(), self.place):
+            lo = 0
+            while lo < len(piece):
+                fresh = piece[lo : lo + step]
+                feed, at, lo = feed + fresh, at + len(fresh), lo + len(fresh)
                 while feed:
                     if machine is None:
                         if len(feed) < LONGEST_MAGIC:
                             break  # more to come
-                        machine = _expander(feed)
+                        machine, step = _expander(feed), STEP
                         if machine is None:
+                            self.open = False
                             return
                     try:
-                        out = machine.decompress(feed)
-                    except (zlib.error, OSError, lzma.LZMAError, EOFError, zstandard.ZstdError):
+                        yield from _expanded(machine, feed)
+                    except DAMAGE:
+                        self.open = False
                         return  # a damaged payload still yields what came before the damage
-                    if out:
-                        yield out
                     feed = b""
                     if machine.eof:
                         feed, machine = machine.unused_data, None
                         self.end = at - len(feed)
+                    elif hasattr(machine, "copy"):
+                        step = min(2 * step, LONGEST_STEP)
+        if machine is None:
+            self.open = bool(feed)
+
+
+def _from(pieces: Iterable[bytes], place: int) -> Iterator[bytes]:
+    """A stream from a place on."""
+    for piece in pieces:
+        if place < len(piece):
+            yield piece[place:] if place else piece
+        place = max(0, place - len(piece))
+
+
+def _expanded(machine, feed: bytes) -> Iterator[bytes]:
+    """What a decompressor makes of some bytes, in bounded pieces; of damaged ones, what ``STEP`` bytes at a time give."""
+    while feed:
+        spare = machine.copy() if len(feed) > STEP and hasattr(machine, "copy") else None
+        try:
+            out = machine.decompress(feed, LONGEST_OUT) if hasattr(machine, "copy") else machine.decompress(feed)
+        except DAMAGE:
+            if spare:
+                for lo in range(0, len(feed), STEP):
+                    yield spare.decompress(feed[lo : lo + STEP])
+            raise
+        if out:
+            yield out
+        feed = getattr(machine, "unconsumed_tail", b"")
+
+
+class Run:
+    """Bytes of a base64 run that begins at a place of another stream, decoded from one of its first four characters on.
+
+    Once a call is exhausted, ``end`` is where the run ends.
+    """
 
+    def __init__(self, source: Callable[[], Iterator[bytes]], place: int, skip: int):
+        self.source, self.place, self.skip, self.end = source, place, skip, place
+
+    def _lines(self) -> Iterator[bytes]:
+        held, line, self.end = b"", 0, self.place
+        for piece in _from(self.source(), self.place):
+            held += piece
+            while held:
+                size = _RUN_LINE.match(held).end()
+                if size:
+                    yield held[:size]
+                    line, held, self.end = line + size, held[size:], self.end + size
+                if not held:
+                    break
+                gap = _RUN_BREAK.match(held) if line >= SHORTEST_LINE else None
+                if gap is None:
+                    return
+                if gap.end() == len(held):
+                    break  # more to come
+                if not _RUN_LINE.match(held, gap.end()).end() > gap.end() or b"\n" not in gap[0]:
+                    return
+                line, held, self.end = 0, held[gap.end() :], self.end + gap.end()
+
+    def __call__(self) -> Iterator[bytes]:
+        held, skip = b"", self.skip
+        for part in self._lines():
+            held += part[skip:].translate(_PLAIN_BYTES)
+            skip = max(0, skip - len(part))
+            whole = len(held) - len(held) % 4
+            if whole:
+                yield base64.b64decode(held[:whole])
+                held = held[whole:]
+        if len(held) > 1:
+            yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+
+class Unescaped:
+    """Another stream as text whose percent or Unicode escapes are undone.
+
+    Bytes beyond ASCII outside escapes become question marks: they are part of no secret and of no encoded part.
+    """
+
+    def __init__(self, source: Callable[[], Iterator[bytes]], pattern: re.Pattern, decode):
+        self.source, self.pattern, self.decode = source, pattern, decode
+
+    def _undone(self, text: str) -> bytes:
+        out, last = [], 0
+        for m in self.pattern.finditer(text):
+            raw, pieces = self.decode(m[0])
+            out += [text[last : m.start()].encode("ascii", "replace"), raw or "".join(t for t, _, _ in pieces).encode()]
+            last = m.end()
+        return b"".join([*out, text[last:].encode("ascii", "replace")])
+
+    def __call__(self) -> Iterator[bytes]:
+        held = ""
+        for piece in self.source():
+            held += piece.decode("latin-1")
+            # An escape, or a pair of them, may go on in the next piece.
+            mark = min((at for sign in "%\\" if (at := held.find(sign, max(0, len(held) - LONGEST_ESCAPE))) >= 0), default=len(held))
+            if mark:
+                yield self._undone(held[:mark])
+                held = held[mark:]
+        yield self._undone(held)
 
-def _windows(pieces: Iterable[bytes]) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of a stream in overlapping windows."""
+
+def _windows(pieces: Iterable[bytes]) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes, whether it is the last) of a stream in overlapping windows."""
     at, held = 0, bytearray()
     for piece in pieces:
         held += piece
         while len(held) > WINDOW:
-            yield at, bytes(held[:WINDOW])
+            yield at, bytes(held[:WINDOW]), False
             del held[: WINDOW - OVERLAP]
             at += WINDOW - OVERLAP
     if held:
-        yield at, bytes(held)
-
-
-def _parts(source: Callable[[], Iterator[bytes]], streams: set[bytes]) -> Iterator[str | Stream]:
-    """The windows of a stream as texts, then the streams that members anywhere in it expand to, unless seen before."""
-    whole, places, end = hashlib.blake2b(digest_size=16), [], 0
-    for at, window in _windows(source()):
-        whole.update(window[end - at :] if end else window)
-        end = at + len(window)
-        places += [at + m.start() for m in _MAGIC.finditer(window) if not places or at + m.start() > places[-1]]
-        yield window.decode("utf-8", "replace")
-    if whole.digest() in streams:
+        yield at, bytes(held), True
+
+
+@dataclass
+class Window:
+    """A window's text; ``encoded`` is the part of it whose encoded runs lie in this window."""
+
+    text: str
+    encoded: str
+    whole: bool
+
+
+def _parts(source: Callable[[], Iterator[bytes]], streams: set[bytes], texts: bool = True) -> Iterator[Window | Stream | Run | Unescaped]:
+    """The windows of a stream, and the streams that its members, escapes and long base64 runs expand to, unless seen before.
+
+    A member that ends in the window in which it begins is unpacked from there, and so is any chance magic, as it soon
+    proves damaged.  Only what goes on beyond the window is read from the source again.  Without ``texts`` only members
+    count.
+    """
+    whole, size, kept = hashlib.blake2b(digest_size=16), 0, []
+    for piece in source():
+        whole.update(piece)
+        size += len(piece)
+        kept = [*kept, piece] if size <= WINDOW else []
+        if len(kept) > 256:
+            kept = [b"".join(kept)]
+    if not size or whole.digest() in streams:
         return
     streams.add(whole.digest())
-    end = 0
-    for place in places:
-        if place >= end:
-            stream = Stream(source, place)
-            yield stream  # read to its end before the next is asked for
-            end = stream.end
+    content, escapes, run_end, member_end, tried = b"".join(kept), set(), 0, 0, -1
+    for at, window, last in [(0, content, True)] if size <= WINDOW else _windows(source()):
+        new = len(window) if last else len(window) - OVERLAP  # what starts later is whole or longer in the next window
+        lo, hi, only = max(0, run_end - at), len(window), at == 0 and last
+        if texts and not only:
+            for n, (pattern, mark, _) in enumerate(ESCAPES):
+                if n not in escapes and pattern.search(window.decode("latin-1")):
+                    escapes.add(n)
+            for m in _RUN.finditer(window, lo) if not last else ():
+                if m.start() < new and _RUN_BREAK.fullmatch(window, m.end()):
+                    hi = m.start()
+        if texts:
+            text = window.decode("utf-8", "replace")
+            yield Window(text, text if only else window[lo:hi].decode("utf-8", "replace"), only)
+        for m in _MAGIC.finditer(window):
+            place = at + m.start()
+            if place < member_end or place <= tried or m.start() >= new:
+                continue
+            tried = place
+            member = Stream(lambda window=window: iter([window]), m.start())
+            for _ in member():
+                pass
+            if member.open and not last:
+                member = Stream(source, place)
+                yield member  # read to its end before the next is asked for
+                member_end = member.end
+            else:
+                member_end = at + member.end
+                yield member
+        if hi < len(window):
+            for skip in range(4):
+                run = Run(source, at + hi, skip)
+                yield run
+            run_end = run.end
+    for n in sorted(escapes):
+        yield Unescaped(source, ESCAPES[n][0], ESCAPES[n][2])
 
 
 def _inside(raw: bytes) -> tuple[set[int], set[bytes]]:
@@ -184,23 +347,23 @@ def _inside(raw: bytes) -> tuple[set[int], set[bytes]]:
 
     Streams and layers are followed depth first, so one window a level is held.
     """
-    kinds, texts, seen, streams, outer = set(), set(), set(), set(), True
-    stack: list[Iterator] = [_parts(lambda: iter([raw]), streams)]
+    kinds, texts, seen, streams = set(), set(), set(), set()
+    # The payload's own bytes are not a layer.
+    stack: list[Iterator] = [_parts(lambda: iter([raw]), streams, texts=False)]
     while stack:
         child = next(stack[-1], None)
         if child is None:
             stack.pop()
             continue
-        if isinstance(child, Stream):
+        if isinstance(child, (Stream, Run, Unescaped)):
             stack.append(_parts(child, streams))
             continue
         if isinstance(child, Payload):
             stack.append(_parts(lambda raw=child.raw: iter([raw]), streams))
             continue
-        text = child if isinstance(child, str) else child.text
+        text = child.text
         digest = _digest(text.encode("utf-8", "surrogatepass"))
-        if outer or not text or digest in seen:  # the payload's own bytes are not a layer
-            outer = False
+        if not text or digest in seen:
             continue
         seen.add(digest)
         found = {k for _, k, _ in base_spans(text)}
@@ -208,7 +371,10 @@ def _inside(raw: bytes) -> tuple[set[int], set[bytes]]:
         # A window may begin and end within a character.
         if found or not (_CONTROL.search(text) or "\ufffd" in text[3:-3]):
             texts.add(digest)
-        stack.append(_children(Layer(text, Nowhere(), Nowhere())))
+        if isinstance(child, Layer) or child.whole:
+            stack.append(_children(Layer(text, NOWHERE, NOWHERE)))
+        else:
+            stack.append(_base64_children(Layer(child.encoded, NOWHERE, NOWHERE)))
     return kinds, texts
 
 
@@ -289,6 +455,9 @@ def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
                 text, plain = raw.decode("latin-1"), False
                 if not (base_spans(text) or any(p.search(text) for p in (_PERCENT, _ESCAPE, _BASE64))):
                     continue
+            if layer.lo is NOWHERE:
+                yield Layer(text, NOWHERE, NOWHERE, plain)
+                continue
             lo, hi, at = [], [], 0
             for ch in text:
                 size = len(ch.encode("utf-8")) if plain else 1
@@ -299,8 +468,11 @@ def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
             yield Layer(text, lo, hi, plain)
 
 
+ESCAPES = ((_PERCENT, "%", _decode_percent), (_ESCAPE, "\\", _decode_escapes))
+
+
 def _children(layer: Layer) -> Iterator[Layer | Payload]:
-    for pattern, mark, decode in ((_PERCENT, "%", _decode_percent), (_ESCAPE, "\\", _decode_escapes)):
+    for pattern, mark, decode in ESCAPES:
         if mark in layer.text:
             child, packed = _rewritten(layer, pattern, decode)
             if child:
