@@ -31,11 +31,11 @@ import hashlib
 import lzma
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +51,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
+# Both begin with a plain character, which the search looks for first.
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*")
+_CODE = r"\\(?:u\{[0-9A-Fa-f]{1,6}\}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|x[0-9A-Fa-f]{2})"
+_ESCAPE = re.compile(f"{_CODE}(?:{_CODE})*")
 _ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 # Lines of a wrapped run are one run; only its last line may be short.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
@@ -85,6 +87,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+class Nowhere:
+    """Coordinates of layers below a payload, all of which stand for the whole of it."""
+
+    def __getitem__(self, at: int | slice):
+        return () if isinstance(at, slice) else 0
+
+
+NOWHERE = Nowhere()
+Coordinates = np.ndarray | range | Nowhere
+
+
+def _pick(places: np.ndarray | range, index: np.ndarray) -> np.ndarray:
+    """The places at some indices; a range has step 1."""
+    return places.start + index if isinstance(places, range) else places[index]
+
+
 @dataclass
 class Layer:
     """Decoded text; character i stands for characters lo(i) to hi(i) of the root.
@@ -93,21 +111,11 @@ class Layer:
     """
 
     text: str
-    lo: Iterable[int] | range
-    hi: Iterable[int] | range
+    lo: Coordinates
+    hi: Coordinates
     plain: bool = True
 
 
-class Nowhere:
-    """Coordinates of layers below a payload, all of which stand for the whole of it."""
-
-    def __getitem__(self, at: int | slice):
-        return () if isinstance(at, slice) else 0
-
-
-NOWHERE = Nowhere()
-
-
 @dataclass
 class Payload:
     """Bytes with compressed members; they stand for characters first to last of the root."""
@@ -294,17 +302,18 @@ def _parts(source: Callable[[], Iterator[bytes]], streams: set[bytes], texts: bo
     proves damaged.  Only what goes on beyond the window is read from the source again.  Without ``texts`` only members
     count.
     """
-    whole, size, kept = hashlib.blake2b(digest_size=16), 0, []
+    whole, size, kept = hashlib.blake2b(digest_size=16), 0, bytearray()
     for piece in source():
         whole.update(piece)
         size += len(piece)
-        kept = [*kept, piece] if size <= WINDOW else []
-        if len(kept) > 256:
-            kept = [b"".join(kept)]
+        if size <= WINDOW:
+            kept += piece
+        else:
+            kept = bytearray()
     if not size or whole.digest() in streams:
         return
     streams.add(whole.digest())
-    content, escapes, run_end, member_end, tried = b"".join(kept), set(), 0, 0, -1
+    content, escapes, run_end, member_end, tried = bytes(kept), set(), 0, 0, -1
     for at, window, last in [(0, content, True)] if size <= WINDOW else _windows(source()):
         new = len(window) if last else len(window) - OVERLAP  # what starts later is whole or longer in the next window
         lo, hi, only = max(0, run_end - at), len(window), at == 0 and last
@@ -393,21 +402,21 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None,
     for m in pattern.finditer(layer.text):
         raw, pieces = decode(m[0])
         if _MAGIC.search(raw):
-            packed.append(Payload(raw, layer.lo[m.start()], layer.hi[m.end() - 1]))
+            packed.append(Payload(raw, int(layer.lo[m.start()]), int(layer.hi[m.end() - 1])))
         out.append(layer.text[last : m.start()])
-        lo.extend(layer.lo[last : m.start()])
-        hi.extend(layer.hi[last : m.start()])
-        for text, a, b in pieces:
-            out.append(text)
-            lo.extend([layer.lo[m.start() + a]] * len(text))
-            hi.extend([layer.hi[m.start() + b - 1]] * len(text))
+        out.extend(text for text, _, _ in pieces)
+        if layer.lo is not NOWHERE:
+            kept = np.arange(last, m.start())
+            lo += [kept, np.array([m.start() + a for text, a, _ in pieces for _ in text], np.int64)]
+            hi += [kept, np.array([m.start() + b - 1 for text, _, b in pieces for _ in text], np.int64)]
         last = m.end()
     if not out:
         return None, []
     out.append(layer.text[last:])
-    lo.extend(layer.lo[last:])
-    hi.extend(layer.hi[last:])
-    return Layer("".join(out), lo, hi), packed
+    if layer.lo is NOWHERE:
+        return Layer("".join(out), NOWHERE, NOWHERE), packed
+    kept = np.arange(last, len(layer.text))
+    return Layer("".join(out), _pick(layer.lo, np.concatenate([*lo, kept])), _pick(layer.hi, np.concatenate([*hi, kept]))), packed
 
 
 def _decode_percent(run: str) -> tuple[bytes, list[tuple[str, int, int]]]:
@@ -443,13 +452,15 @@ def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
     """What each base64 run decodes to from its first four characters on, as a word before a blob may be glued to it."""
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=")
-        place = [m.start() + i for i, ch in enumerate(run) if ch not in _BREAKS] if "\n" in run else range(m.start(), m.end())
+        place = range(m.start(), m.end())
+        if "\n" in run:
+            place = m.start() + np.flatnonzero(np.frombuffer(run.encode(), np.uint8) > ord(" "))
         run, end = run.translate(_PLAIN_BASE64), m.end() - 1
         for skip in range(4):
             part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
             raw = base64.b64decode(part + "=" * (-len(part) % 4))
             if packed := _MAGIC.search(raw):
-                yield Payload(raw[packed.start() :], layer.lo[place[skip + packed.start() * 4 // 3]], layer.hi[end])
+                yield Payload(raw[packed.start() :], int(layer.lo[place[skip + packed.start() * 4 // 3]]), int(layer.hi[end]))
             text, plain = _as_text(raw), True
             if text is None:
                 text, plain = raw.decode("latin-1"), False
@@ -458,14 +469,14 @@ def _base64_children(layer: Layer) -> Iterator[Layer | Payload]:
             if layer.lo is NOWHERE:
                 yield Layer(text, NOWHERE, NOWHERE, plain)
                 continue
-            lo, hi, at = [], [], 0
-            for ch in text:
-                size = len(ch.encode("utf-8")) if plain else 1
-                after = skip + (at + size) * 4 // 3
-                lo.append(layer.lo[place[skip + at * 4 // 3]])
-                hi.append(layer.hi[place[after] if after < len(place) else end])
-                at += size
-            yield Layer(text, lo, hi, plain)
+            sizes = np.ones(len(text), np.int64)
+            if plain and len(raw) > len(text):
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                sizes += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+            last = sizes.cumsum()
+            after = skip + last * 4 // 3
+            ends = np.where(after < len(place), _pick(place, np.minimum(after, len(place) - 1)), end)
+            yield Layer(text, _pick(layer.lo, _pick(place, skip + (last - sizes) * 4 // 3)), _pick(layer.hi, ends), plain)
 
 
 ESCAPES = ((_PERCENT, "%", _decode_percent), (_ESCAPE, "\\", _decode_escapes))
@@ -504,14 +515,14 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
                 continue
             # The text and the characters it stands for decide all that is found below.
             digest = _digest(child.text.encode("utf-8", "surrogatepass"))
-            state = digest + _digest(array("q", child.lo).tobytes() + array("q", child.hi).tobytes())
+            state = digest + _digest(child.lo.tobytes() + child.hi.tobytes())
             if state in seen:
                 continue
             seen.add(state)
             found = base_spans(child.text)
             if found or child.plain:
                 texts.add(digest)
-            spans.update((child.lo[a], k, child.hi[b - 1]) for a, k, b in found)
+            spans.update((int(child.lo[a]), k, int(child.hi[b - 1])) for a, k, b in found)
             work.append(child)
     return base, sorted(spans), len(texts)
 
