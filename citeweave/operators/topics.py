@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -24,8 +26,8 @@ TOPIC_STOP = (
 )
 TOPIC_TERMS = Vectorizer(ngrams=2, max_features=8000, stop_words=(*STOP_WORDS, *TOPIC_STOP), sublinear=True, max_df=0.85)
 SEED, RESTARTS, KEYWORDS = 42, 10, 8
-#: The exact silhouette compares all pairs, so it is for pools of at most this many records.
-SILHOUETTE_LIMIT = 2000
+#: Rows of a block of the silhouette, and rows of it that are held against another block at once.
+BLOCK_ROWS, STRIP_ROWS = 4096, 256
 
 
 def choose_k(n: int, requested: int = 0) -> int:
@@ -58,36 +60,122 @@ def embed(docs: DataFrame, dims: int = 128, v: Vectorizer = TOPIC_TERMS) -> Data
     return out.select("doc", F.transform("u", lambda x: F.when(norm > 0, x / norm).otherwise(0.0)).alias("v"))
 
 
+def _features(vectors: DataFrame) -> DataFrame:
+    return vectors.select("doc", "v", array_to_vector(F.col("v")).alias("features"))
+
+
+def _fit(data: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:
+    """The run of least cost among the restarts."""
+    return min((KMeans(k=k, seed=seed + i, maxIter=100).fit(data) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
     """(doc, cluster): the run of least cost among the restarts."""
-    data = vectors.select("doc", array_to_vector(F.col("v")).alias("features")).cache()
-    runs = [KMeans(k=k, seed=seed + i, maxIter=100).fit(data) for i in range(restarts)]
-    best = min(runs, key=lambda m: m.summary.trainingCost)
+    data = _features(vectors).drop("v").persist()
+    try:
+        best = _fit(data, k, restarts, seed)
+    finally:
+        data.unpersist()
     return best.transform(data).select("doc", F.col("prediction").alias("cluster"))
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; those near zero, where the product cancels, are taken from the differences."""
+    xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)[None, :]
+    d = xx + yy - 2 * (x @ y.T)
+    near, other = np.nonzero(d <= 1e-5 * (xx + yy))
+    for lo in range(0, len(near), 1 << 14):
+        i, j = near[lo : lo + (1 << 14)], other[lo : lo + (1 << 14)]
+        d[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(d)
+
+
+def distance_sums(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Rows of (doc, v, a cluster column a labelling) with ``sums``: their distances to each cluster, added up.
+
+    ``widths`` names the labelling columns and how many clusters (numbered from 0) each has; ``sums`` holds them one
+    labelling after the other.  Records are dealt to blocks of about ``BLOCK_ROWS``; each pair of blocks is a cell that
+    takes all distances between them from one matrix product a strip and gives one row a record, so a cell's memory is
+    bounded, no pair of records is a row, and all labellings share the distances.  ``doc`` is a key of the rows.
+    """
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    names, total = list(widths), sum(widths.values())
+    block = F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")
+    cell = F.struct(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    dealt = rows.select("doc", "v", *names, block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", cell)
+
+    def towards(x: np.ndarray, y: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return np.concatenate([_distances(x[lo : lo + STRIP_ROWS], y) @ marks for lo in range(0, len(x), STRIP_ROWS)])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        sides = [frame[frame["block"] == n] for n in sorted(frame["block"].unique())]
+        points = [np.stack(side["v"].to_numpy()).astype(float) for side in sides]
+        marks = []
+        for side in sides:
+            columns = [side[name].to_numpy()[:, None] == np.arange(width)[None, :] for name, width in widths.items()]
+            marks.append(np.concatenate(columns, axis=1).astype(float))
+        out = []
+        both = frame["cell"].iloc[0]
+        if both["a"] == both["b"]:
+            out.append((sides[0]["doc"], towards(points[0], points[0], marks[0])))
+        elif len(sides) == 2:
+            out += [(sides[0]["doc"], towards(points[0], points[1], marks[1])), (sides[1]["doc"], towards(points[1], points[0], marks[0]))]
+        frames = [pd.DataFrame({"doc": doc.to_numpy(), **{f"s{n}": sums[:, n] for n in range(total)}}) for doc, sums in out]
+        return pd.concat(frames) if frames else pd.DataFrame(columns=["doc", *(f"s{n}" for n in range(total))])
+
+    schema = f"doc {rows.schema['doc'].dataType.simpleString()}, " + ", ".join(f"s{n} double" for n in range(total))
+    added = dealt.groupBy("cell").applyInPandas(run, schema).groupBy("doc").agg(*(F.sum(f"s{n}").alias(f"s{n}") for n in range(total)))
+    return rows.join(added.select("doc", F.array(*(f"s{n}" for n in range(total))).alias("sums")), "doc")
+
+
+def silhouettes(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """(doc, one column a labelling): each record's Euclidean silhouette in each labelling.
+
+    A record alone in its cluster has 0, and so has one whose distances are all 0 or that has no other cluster.
+    """
+    found, at, out = distance_sums(rows, widths), 0, []
+    counts = rows.agg(*(F.count_if(F.col(name) == c).alias(f"{name}_{c}") for name, width in widths.items() for c in range(width))).first()
+    for name, width in widths.items():
+        sizes = [counts[f"{name}_{c}"] for c in range(width)]
+        own = F.col(name)
+        size = F.get(F.array(*map(F.lit, sizes)), own)
+        a = F.get("sums", own + at) / F.nullif(size - 1, F.lit(0))
+        b = F.least(*(F.when((own != c) & F.lit(sizes[c] > 0), F.get("sums", F.lit(at + c)) / max(1, sizes[c])) for c in range(width)), F.lit(None).cast("double"))
+        out.append(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)) if width > 1 else F.lit(0.0))
+        out[-1] = F.when(a.isNull() | b.isNull(), 0.0).otherwise(out[-1]).alias(name)
+        at += width
+    return found.select("doc", *out)
+
+
 def silhouette(vectors: DataFrame, clusters: DataFrame) -> float:
-    """Mean Euclidean silhouette; singletons count zero."""
+    """Mean Euclidean silhouette of (doc, v) in (doc, cluster), clusters numbered from 0; singletons count zero."""
     rows = vectors.join(clusters, "doc")
-    if rows.count() > SILHOUETTE_LIMIT:
-        raise ValueError("the exact silhouette is for small pools")
-    other = rows.select(F.col("doc").alias("doc2"), F.col("v").alias("v2"), F.col("cluster").alias("c2"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    # Bounded above by SILHOUETTE_LIMIT rows on either side.
-    mean = rows.join(F.broadcast(other), F.col("doc") != F.col("doc2")).groupBy("doc", "cluster", "c2").agg(F.avg(distance).alias("d"))
-    a = F.max(F.when(F.col("cluster") == F.col("c2"), F.col("d")))
-    b = F.min(F.when(F.col("cluster") != F.col("c2"), F.col("d")))
-    s = mean.groupBy("doc").agg(a.alias("a"), b.alias("b")).select(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    return s.agg(F.avg("s")).first()[0] or 0.0
+    width = rows.agg(F.max("cluster")).first()[0]
+    if width is None:
+        return 0.0
+    return silhouettes(rows, {"cluster": width + 1}).agg(F.avg("cluster")).first()[0]
 
 
 def best_k(vectors: DataFrame, cap: int) -> int:
-    """The number of clusters of greatest silhouette, the smallest on ties."""
+    """The number of clusters of greatest mean silhouette from 2 to ``cap``, the smallest on ties, at any size.
+
+    All candidates are fitted first and measured in one pass over the distances.
+    """
+    data = _features(vectors).persist()
+    try:
+        rows, widths = data, {}
+        for k in range(2, cap + 1):
+            rows = _fit(data, k).setPredictionCol(f"k{k}").transform(rows)
+            widths[f"k{k}"] = k
+        if not widths:
+            return 2
+        scores = silhouettes(rows.drop("features"), widths).agg(*(F.avg(name).alias(name) for name in widths)).first()
+    finally:
+        data.unpersist()
     found, top = 2, -2.0
-    for k in range(2, cap + 1):
-        score = silhouette(vectors, kmeans(vectors, k))
-        if score > top + 1e-12:
-            found, top = k, score
+    for name, k in widths.items():
+        if scores[name] is not None and scores[name] > top + 1e-9:
+            found, top = k, scores[name]
     return found
 
 
@@ -107,7 +195,7 @@ def cluster_papers(papers: DataFrame, requested: int = 0, auto_tune: bool = True
     text = F.concat_ws(". ", "title", "title", "abstract")
     vectors = embed(papers.select(F.col("pos").alias("doc"), text.alias("text"))).cache()
     k = choose_k(n, requested)
-    if auto_tune and not requested and n <= SILHOUETTE_LIMIT:
+    if auto_tune and not requested:
         k = best_k(vectors, k)
     found = kmeans(vectors, k)
     placed = papers.select(F.col("pos").alias("doc")).join(found, "doc", "left").fillna({"cluster": 0})

@@ -243,6 +243,13 @@ pair AS (SELECT q, doc, sum(tf * qtf * up * up) AS dot, sum(pow(tf * up, 2) - po
 sc AS (SELECT q, doc, dot / (qn * sqrt(p + shift)) AS score FROM pair JOIN plain USING (doc) JOIN qn USING (q)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rn FROM sc)
 SELECT q AS query, count(*) AS n, round(max(score), 4) AS best, round(sum(score), 3) AS total FROM rk WHERE rn <= 10 AND score > 0 GROUP BY q""",
+    "topic_silhouette": """
+        WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        m AS (SELECT a.vec_id AS doc, a.label AS own, b.label AS other, avg(CASE WHEN a.vec_id <> b.vec_id THEN list_distance(a.v, b.v) END) AS d
+              FROM e a, e b GROUP BY ALL),
+        r AS (SELECT doc, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM m GROUP BY doc)
+        SELECT doc, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM r""",
     "topic_k": "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, CAST(CASE WHEN count(*) <= 2 THEN 1 ELSE greatest(2, least(8, count(*) - 1, round_even(sqrt(count(*) / 2.0), 0))) END AS BIGINT) AS k FROM embeddings GROUP BY label",
     "topic_keywords": f"""WITH {_tfidf("SELECT doc_id AS doc, text FROM documents", (*STOP_WORDS, *TOPIC_STOP), 1, 8000, max_df="0.85", sublinear=True)},
 z AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), m AS (SELECT d.lang AS cluster, term, sum(w) / any_value(size) AS mean FROM w JOIN documents d ON d.doc_id = w.doc JOIN z ON z.lang = d.lang GROUP BY ALL),

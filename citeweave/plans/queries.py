@@ -354,6 +354,17 @@ def topic_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.renumber(topics.kmeans(vectors, 10)).select("doc", "cluster_id")
 
 
+@query
+def topic_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's silhouette among the labels as clusters."""
+    sound = "label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))"
+    vectors = table(spark, sf_dir, "embeddings").filter(sound)
+    rows = vectors.select(F.col("vec_id").alias("doc"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("label").cast("int").alias("cluster"))
+    width = rows.agg(F.max("cluster")).first()[0]
+    found = topics.silhouettes(rows, {"cluster": (width or 0) + 1})
+    return found.select("doc", F.round("cluster", 6).alias("silhouette"))
+
+
 @query
 def citation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of records new to a version."""

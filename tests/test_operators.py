@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
@@ -324,3 +325,45 @@ def test_registered_kmeans_takes_all_restarts(spark, monkeypatch):
     seen, real = [], topics.kmeans
     monkeypatch.setattr(topics, "kmeans", lambda v, k, restarts=topics.RESTARTS: seen.append(restarts) or real(v, k, 1))
     assert REGISTRY["topic_kmeans"](spark, "/root/testdata/sf0.001").count() > 0 and seen == [10]
+
+
+def plain_silhouettes(points, labels):
+    """By definition, from all differences."""
+    d = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(2))
+    out = []
+    for i, own in enumerate(labels):
+        same = [d[i, j] for j, c in enumerate(labels) if c == own and j != i]
+        others = [np.mean([d[i, j] for j, c in enumerate(labels) if c == k]) for k in set(labels) - {own}]
+        if not same or not others or max(np.mean(same), min(others)) == 0:
+            out.append(0.0)
+        else:
+            out.append((min(others) - np.mean(same)) / max(np.mean(same), min(others)))
+    return out
+
+
+def test_silhouettes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topics, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topics, "STRIP_ROWS", 7)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(90, 5)) + 3 * (np.arange(90) % 3)[:, None]
+    points[60:75] = points[0]  # copies
+    points[75] = 0.0
+    one = [int(n % 3) for n in range(90)]
+    two = [4 if n == 17 else int(n > 40) for n in range(90)]  # a cluster of one, numbers without records
+    rows = spark.createDataFrame([(n, points[n].tolist(), one[n], two[n], 0) for n in range(90)], "doc long, v array<double>, a int, b int, c int")
+    got = topics.silhouettes(rows, {"a": 3, "b": 5, "c": 1}).orderBy("doc").collect()
+    assert np.allclose([r.a for r in got], plain_silhouettes(points, one), atol=1e-9)
+    assert np.allclose([r.b for r in got], plain_silhouettes(points, two), atol=1e-9)
+    assert {r.c for r in got} == {0.0}
+    clusters = rows.select("doc", F.col("a").alias("cluster"))
+    assert abs(topics.silhouette(rows.select("doc", "v"), clusters) - np.mean(plain_silhouettes(points, one))) < 1e-9
+    copies = rows.filter("doc BETWEEN 60 AND 74")
+    assert {r.b for r in topics.silhouettes(copies.withColumn("b", F.col("doc").cast("int") % 2), {"b": 2}).collect()} == {0.0}
+    assert topics.silhouettes(rows.filter("doc < 0"), {"a": 3}).count() == 0
+
+
+def test_best_k_beyond_two_thousand_records(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(n, (rng.normal(scale=0.2, size=3) + 5 * np.eye(3)[n % 3]).tolist()) for n in range(2100)], "doc long, v array<double>")
+    assert topics.best_k(rows, 4) == 3
+    assert topics.best_k(rows, 1) == 2
