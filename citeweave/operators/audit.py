@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import has_citation
@@ -163,10 +163,20 @@ def number_entries(keys: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("base").orderBy("pos")
     ranked = keys.withColumn("i", F.row_number().over(order))
-    letter = F.when(F.col("i") > 1, F.char(F.lit(ord("a")) + F.col("i") - 2)).otherwise("")
+    letter = F.when(F.col("i") > 1, character(F.lit(ord("a")) + F.col("i") - 2)).otherwise("")
     return ranked.select("pos", F.concat("base", letter).alias("key"))
 
 
+def character(code: Column) -> Column:
+    """The character of a code point, whole (SQL's own ``char`` takes the remainder by 256)."""
+    tail = lambda shift: F.shiftright(code, shift).bitwiseAND(63) + 128
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    two = F.concat(byte(F.shiftright(code, 6) + 192), byte(tail(0)))
+    three = F.concat(byte(F.shiftright(code, 12) + 224), byte(tail(6)), byte(tail(0)))
+    four = F.concat(byte(F.shiftright(code, 18) + 240), byte(tail(12)), byte(tail(6)), byte(tail(0)))
+    return F.unhex(F.when(code < 1 << 7, byte(code)).when(code < 1 << 11, two).when(code < 1 << 16, three).otherwise(four)).cast("string")
+
+
 def fold_cite_keys(bases: list[str]) -> list[str]:
     """Keys in order: the base, or the base with the first letter that is still free."""
     out: list[str] = []
