@@ -1,6 +1,7 @@
 """Operators on small tables, their traps included."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -207,6 +208,24 @@ def test_sections_and_tables(spark):
     assert long == "## 摘要\na\n\n## Methods\nm\n\n## 3 Results\nq\n\n\n## 图表线索\n- 图：Fig. 1"
 
 
+def test_extract_of_many_sections(spark):
+    """Each section is looked at once: a running total taken anew for every section does not end here."""
+    body = lambda i: F.struct(F.lit("Methods").alias("heading"), F.lit(1).alias("level"), F.concat(F.lit("text "), i.cast("string")).alias("text"))
+    none = F.array().cast("array<struct<caption:string,rows:array<string>>>")
+    parsed = F.struct(F.lit("").alias("abstract"), F.col("s").alias("sections"), F.array().cast("array<struct<caption:string>>").alias("figures"), none.alias("tables"))
+    one = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), body).alias("s"))
+    job = "test_extract_of_many_sections"
+    timer = threading.Timer(60, lambda: spark.sparkContext.cancelJobsWithTag(job))
+    spark.sparkContext.addJobTag(job)
+    timer.start()
+    try:
+        got = one.select(sections.extract_body(parsed, 100).alias("t")).first().t
+    finally:
+        timer.cancel()
+        spark.sparkContext.removeJobTag(job)
+    assert got == "\n\n".join(f"## Methods\ntext {i}" for i in range(1, 6))
+
+
 def test_betweenness_by_levels(spark, monkeypatch):
     rng = random.Random(2)
     edges = spark.createDataFrame(sorted({tuple(rng.sample(range(30), 2)) for _ in range(55)}), "src long, dst long")
@@ -231,6 +250,13 @@ def test_audit(spark):
     assert dims["network_hub"] == (60, True) and not any(a for k, (_, a) in dims.items() if k != "network_hub")
 
 
+def test_cite_keys_beyond_the_alphabet(spark):
+    keys = {r.pos: r.key for r in audit.number_entries(spark.range(2500).select(F.col("id").alias("pos"), F.lit("k").alias("base"))).collect()}
+    assert keys == {i: "k" + (chr(ord("a") + i - 1) if i else "") for i in range(2500)}
+    codes = [1, 127, 128, 2047, 2048, 0xFFFD, 0x10000, 0x10FFFF]
+    assert [r.c for r in spark.createDataFrame([(c,) for c in codes], "n int").select(audit.character(F.col("n")).alias("c")).collect()] == [chr(c) for c in codes]
+
+
 def test_enrichment(spark):
     pool = papers(spark, [{"paper_id": "a", "doi": "10.1/a", "title": "T one"}, {"paper_id": "b", "title": "A title, well"}, {"paper_id": "c", "title": "x", "citation_count": 4}])
     look = spark.createDataFrame([("10.1/a", "zz", 7), ("10.1/b", "A Title well!", 5)], "doi string, title string, citation_count long")
