@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
-from ..storage import Store
+from ..storage import Store, tasks_for
 
 # Own list of function words; a parameter everywhere.
 STOP_WORDS = tuple(
@@ -49,13 +49,20 @@ def terms_of(text: Column, v: Vectorizer) -> Column:
     return F.transform(F.array(words), lambda w: F.concat(w, bigrams(w)))[0]
 
 
-def term_counts(docs: DataFrame, v: Vectorizer, doc: str = "doc", text: str = "text") -> DataFrame:
+def text_parts(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """The number of documents, and of parts in which their texts are taken apart."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    return n, tasks_for(docs.sparkSession, size)
+
+
+def term_counts(docs: DataFrame, v: Vectorizer, parts: int, doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, term, tf).
 
     Texts are dealt by document before they are taken apart, so that the counts
-    need no shuffle of their own: a text is smaller than its terms.
+    need no shuffle of their own: a text is smaller than its terms.  A task
+    holds the terms of one of ``parts`` parts, whose number follows the texts' size.
     """
-    dealt = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc")
+    dealt = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition(parts, "doc")
     return dealt.select("doc", F.explode(terms_of(F.col("text"), v)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -72,27 +79,30 @@ def _frequency(v: Vectorizer) -> Column:
     return F.lit(1.0) + F.log("tf") if v.sublinear else F.col("tf").cast("double")
 
 
-def weights(counts: DataFrame, n_docs: int, v: Vectorizer) -> DataFrame:
-    """(doc, term, w) of unit length from (doc, term, tf) over ``n_docs`` documents; the counts are written once."""
-    store = Store(counts.sparkSession, "weights")
-    counts = store.put(counts, "counts")
+def weights(docs: DataFrame, v: Vectorizer) -> DataFrame:
+    """(doc, term, w) of unit length of (doc, text), dealt by doc; the counts are written once."""
+    n_docs, parts = text_parts(docs)
+    store = Store(docs.sparkSession, "weights", parts)
+    counts = store.put(term_counts(docs, v, parts), "counts")
     raw = counts.join(features(counts, n_docs, v, store), "term").select("doc", "term", (_frequency(v) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.repartition(parts, "doc").select("doc", "term", (F.col("w") / norm).alias("w"))
 
 
 def cosine_scores(docs: DataFrame, query_text: str, v: Vectorizer = Vectorizer(), doc: str = "doc", text: str = "text") -> DataFrame:
     """(doc, score): cosine of every document with the query; the query counts among the fitted documents.
 
-    Counts and features are written once.  All terms of a document add to its
+    Texts, counts and features are written once.  All terms of a document add to its
     length, but only the query's to the product, so one pass over the counts
     with two small tables beside it gives both.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "tfidf")
     mark = docs.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text"))
     asked = spark.createDataFrame([(QUERY, query_text)], "doc string, text string")
-    counts = store.put(term_counts(mark.unionByName(asked), v), "counts")
-    n_docs = docs.count() + 1
+    texts = store.put(mark.unionByName(asked), "texts")
+    n_docs, store.parts = text_parts(texts)
+    counts = store.put(term_counts(texts, v, store.parts), "counts")
+    store.drop("texts")
     weighted = counts.join(features(counts, n_docs, v, store), "term").select("doc", "term", (_frequency(v) * F.col("idf")).alias("w"))
     own = weighted.filter(F.col("doc") == QUERY)
     length = own.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))

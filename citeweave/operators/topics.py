@@ -14,7 +14,7 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tfidf import STOP_WORDS, Vectorizer, term_counts, weights
+from .tfidf import STOP_WORDS, Vectorizer, weights
 
 # Fixed value: words too common in scientific text to name a topic.
 TOPIC_STOP = (
@@ -47,7 +47,7 @@ def chosen_k(n: Column) -> Column:
 def embed(docs: DataFrame, dims: int = 128, v: Vectorizer = TOPIC_TERMS) -> DataFrame:
     """(doc, v): unit vectors of (doc, text) by TF-IDF and truncated SVD."""
     n = docs.count()
-    w = weights(term_counts(docs, v), n, v)
+    w = weights(docs, v)
     terms = w.select("term").distinct().withColumn("j", F.row_number().over(Window.orderBy("term")) - 1)
     width = terms.count()
     rows = w.join(F.broadcast(terms), "term").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("j", "w"))).alias("m"))
@@ -204,7 +204,7 @@ def cluster_papers(papers: DataFrame, requested: int = 0, auto_tune: bool = True
 
 def keywords(docs: DataFrame, top: int = KEYWORDS, v: Vectorizer = TOPIC_TERMS) -> DataFrame:
     """(cluster, rn, term, mean) of (doc, cluster, text): best terms by mean weight, absent terms counting zero."""
-    w = weights(term_counts(docs, v), docs.count(), v)
+    w = weights(docs.select("doc", "text"), v)
     sizes = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     mean = w.join(docs.select("doc", "cluster"), "doc").groupBy("cluster", "term").agg(F.sum("w").alias("sum")).join(F.broadcast(sizes), "cluster").select("cluster", "term", (F.col("sum") / F.col("size")).alias("mean"))
     order = Window.partitionBy("cluster").orderBy(F.round("mean", 9).desc(), "term")

@@ -549,7 +549,8 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def search_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, resolve, score, rank, cut: the twenty best records for a topic."""
-    pool = Store(spark, "search").put(dedup.dedup_papers(papers_docs(spark, sf_dir).drop("lang")), "pool")
+    _, parts = tfidf.text_parts(table(spark, sf_dir, "documents"))
+    pool = Store(spark, "search", parts).put(dedup.dedup_papers(papers_docs(spark, sf_dir).drop("lang")), "pool")
     scored = ranking.relevance(pool, TOPIC, list(QUERIES)).withColumn("hub_score", F.lit(0.0))
     top = ranking.top_ranked(ranking.rank(scored, len(QUERIES)), 20)
     return top.select("paper_id", "title", F.col("year").cast("long").alias("year"), "citation_count", "score")

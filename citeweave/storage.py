@@ -23,6 +23,9 @@ _LOCAL_ROOT: list[str] = []
 ARROW_ROWS = 1000
 #: Lets Spark remove an execution's shuffle files when it ends: a written table has no more use for them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+SHUFFLES = "spark.sql.shuffle.partitions"
+#: Bytes of text that one task takes apart.
+TASK_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,11 +43,20 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
+def tasks_for(spark: SparkSession, size: int | None) -> int:
+    """Parts for ``size`` bytes of text: the session's, or as many more as the size asks for."""
+    return max(int(spark.conf.get(SHUFFLES)), -(-(size or 0) // TASK_BYTES))
+
+
 class Store:
-    """Tables of one operator call; ``drop`` removes those no longer needed."""
+    """Tables of one operator call; ``drop`` removes those no longer needed.
+
+    Shuffles of the tables written have at least ``parts`` parts, so that what
+    one task holds does not grow with the input.
+    """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.schemas = spark, {}
+    def __init__(self, spark: SparkSession, label: str, parts: int = 0):
+        self.spark, self.schemas, self.parts = spark, {}, parts
         self.base = f"{scratch_root(spark)}/citeweave/{label}-{uuid.uuid4().hex[:12]}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +65,8 @@ class Store:
         conf = self.spark.conf
         rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
         own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(min(rows, ARROW_ROWS) if rows > 0 else ARROW_ROWS), CLEANUP: "true"}
+        if self.parts > int(conf.get(SHUFFLES)):
+            own[SHUFFLES] = str(self.parts)
         before = {key: conf.get(key, None) for key in own}
         try:
             for key, value in own.items():
