@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import store_key
 from ..functions.text import blank
 from ..schemas import PERSISTED
-from .tfidf import TOKEN, Vectorizer, terms_of
+from ..storage import Store
+from .tfidf import TOKEN, Vectorizer, term_counts, terms_of, text_parts
+
+#: A term that holds more than one in this many of all counts is frequent, so there are never more frequent terms than this.
+HOT_TERMS = 1 << 17
+#: Terms of queries that are held beside each task; more are dealt.
+MOST_ASKED = 1 << 19
 
 
 def keyed(papers: DataFrame) -> DataFrame:
@@ -42,23 +48,34 @@ def recall(docs: DataFrame, queries: DataFrame, top_k: int = 10, v: Vectorizer =
 
     A query adds one document to the corpus, and one to the document frequency
     of its own terms; both are put in by formula, so one pass over the corpus
-    serves all queries.  Scores of zero are dropped after the cut.
+    serves all queries.  Counts are written once.  Of them only those of the
+    queries' terms are dealt, by document, so that products, lengths and the
+    best of each part meet in one task.  Scores of zero are dropped after the cut.
     """
-    counts = docs.select("doc", F.explode(terms_of(F.col("text"), v)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
+    n, parts = text_parts(docs)
+    store = Store(docs.sparkSession, "recall", parts)
+    counts = store.put(term_counts(docs, v, parts), "counts")
+    df = store.put(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     asked = queries.select("query", F.explode(terms_of(F.col("text"), v)).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = lambda d: F.log(F.lit(2.0 + n) / (1.0 + d)) + 1.0
-    terms = counts.join(df, "term")
     # Norms as if no term were shared with the query; the shared ones are corrected per pair.
-    norms = terms.groupBy("doc").agg(F.sum(F.pow(F.col("tf") * idf(F.col("df")), 2)).alias("plain"))
-    q = asked.join(df, "term", "left").select("query", "term", "qtf", idf(F.coalesce("df", F.lit(0)) + 1.0).alias("up"))
+    square = F.pow(F.col("tf") * idf(F.col("df")), 2)
+    hot = F.col("df") * HOT_TERMS > (df.agg(F.sum("df")).first()[0] or 0)
+    frequent, rare = df.filter(hot), df.filter(~hot)
+    known = counts.join(F.broadcast(frequent), "term").select("doc", square.alias("s"))
+    dealt = counts.join(F.broadcast(frequent.select("term")), "term", "left_anti").join(rare, "term").select("doc", square.alias("s"))
+    norms = store.put(known.unionByName(dealt).groupBy("doc").agg(F.sum("s").alias("plain")), "norms")
+    q = store.put(asked.join(df, "term", "left").select("query", "term", "qtf", "df", idf(F.coalesce("df", F.lit(0)) + 1.0).alias("up")), "asked")
     q_norm = q.groupBy("query").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("up"), 2))).alias("qn"))
-    shared = terms.join(q, "term")
-    pair = shared.groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("qtf") * F.col("up") * F.col("up")).alias("dot"), F.sum(F.pow(F.col("tf") * F.col("up"), 2) - F.pow(F.col("tf") * idf(F.col("df")), 2)).alias("shift"))
-    scored = pair.join(norms, "doc").join(q_norm, "query").select("query", "doc", (F.col("dot") / (F.col("qn") * F.sqrt(F.col("plain") + F.col("shift")))).alias("score"))
+    few = q.count() <= MOST_ASKED
+    beside = (lambda table: F.broadcast(table)) if few else (lambda table: table)
+    shared = counts.join(beside(q.select("term").distinct()), "term", "left_semi").repartition(parts, "doc").join(beside(q), "term")
+    up, own = F.col("tf") * F.col("up"), F.col("tf") * idf(F.col("df"))
+    pair = shared.groupBy("query", "doc").agg(F.sum(up * F.col("qtf") * F.col("up")).alias("dot"), F.sum(F.pow(up, 2) - F.pow(own, 2)).alias("shift"))
+    scored = pair.join(norms.repartition(parts, "doc"), "doc").join(beside(q_norm), "query").select("query", "doc", (F.col("dot") / (F.col("qn") * F.sqrt(F.col("plain") + F.col("shift")))).alias("score"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc")
-    return scored.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= top_k).filter("score > 0").drop("rn")
+    ranked = scored.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= top_k).filter("score > 0").drop("rn")
+    return store.put(ranked, "best")
 
 
 class RecordStore:
