@@ -24,6 +24,8 @@ LOCAL_EDGES = 200_000
 HELD_EDGES = 2_000_000
 #: Records of at most this many references that others hold too are coupled by keys of two references, larger ones by counting.
 KEYED_REFERENCES = 128
+#: References whose records' keys one task sorts.
+REFERENCES_PER_TASK = 500_000
 
 
 def node_ids(papers: DataFrame) -> DataFrame:
@@ -189,11 +191,56 @@ def centrality(papers: DataFrame) -> DataFrame:
     return papers.drop("hub_score", "bridge_score").withColumn("node", node).join(hub, "node", "left").join(bridge, "node", "left").drop("node")
 
 
-def coupling_pairs(references: DataFrame, min_shared: int = 2) -> DataFrame:
-    """(a, b, shared) of records that share references (paper, ref); repeated references count each time."""
-    left, right = references.select("ref", F.col("paper").alias("a")), references.select("ref", F.col("paper").alias("b"))
-    pairs = left.join(right, "ref").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.filter(F.col("shared") >= min_shared)
+def _store(references: DataFrame, rows: int | None) -> Store:
+    """Tables whose shuffles have parts of REFERENCES_PER_TASK references; ``rows`` bounds their number and is counted if not given."""
+    rows = references.count() if rows is None else rows
+    return Store(references.sparkSession, "coupling", -(-rows // REFERENCES_PER_TASK))
+
+
+def _reference_keys(lists: DataFrame) -> DataFrame:
+    """(paper, one, two): each two of a record's ``refs``, structs or values in ascending order."""
+    one = lists.select("paper", "refs", F.posexplode("refs").alias("i", "one"))
+    return one.select("paper", "one", F.explode(F.slice("refs", F.col("i") + 2, F.size("refs") - F.col("i") - 1)).alias("two"))
+
+
+def coupling_pairs(references: DataFrame, min_shared: int = 2, rows: int | None = None, keyed: int = KEYED_REFERENCES) -> DataFrame:
+    """(a, b, shared) of records that share references (paper, ref); repeated references count each time.
+
+    Records that share s references share s (s - 1) / 2 keys of two, so only
+    records that share at least two ever meet, however many hold one of their
+    references.  A reference held x times by a record and y times by another
+    counts x y; summed over the keys each counts s - 1 times.  Pairs that share
+    one repeated reference only, and those with records of more than ``keyed``
+    references, are counted by their references.
+    """
+    if min_shared < 2:
+        left, right = references.select("ref", F.col("paper").alias("a")), references.select("ref", F.col("paper").alias("b"))
+        return left.join(right, "ref").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    store = _store(references, rows)
+    held = store.put(references.select("paper", "ref").dropna().groupBy("paper", "ref").agg(F.count(F.lit(1)).alias("times")), "held")
+    lists = held.groupBy("paper").agg(F.count(F.lit(1)).alias("n"))
+    large = store.put(lists.filter(F.col("n") > keyed).select("paper"), "large")
+    small = held.join(large, "paper", "left_anti") if large.head(1) else held
+    keys = _reference_keys(small.groupBy("paper").agg(F.array_sort(F.collect_list(F.struct("ref", "times"))).alias("refs")))  # at most ``keyed``
+    keys = store.put(keys.select("paper", F.col("one.ref").alias("r1"), F.col("two.ref").alias("r2"), F.col("one.times").alias("t1"), F.col("two.times").alias("t2")), "keys")
+    left, right = (keys.select("r1", "r2", F.col("paper").alias(p), F.col("t1").alias(f"{p}1"), F.col("t2").alias(f"{p}2")) for p in "ab")
+    met = left.join(right, ["r1", "r2"]).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.sum(F.expr("a1 * b1 + a2 * b2")).alias("x"))
+    # m = s (s - 1) / 2, so s - 1 = (sqrt(8 m + 1) - 1) / 2.
+    pairs = met.select("a", "b", F.round(F.col("x") / ((F.sqrt(8.0 * F.col("m") + 1) - 1) / 2)).cast("long").alias("shared"))
+    one, other = held.select("ref", F.col("paper").alias("p"), F.col("times").alias("x")), held.select("ref", F.col("paper").alias("q"), F.col("times").alias("y"))
+    ends = (F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    if held.filter("times > 1").head(1):
+        pairs = store.put(pairs, "keyed")
+        twice = one.filter("x > 1").join(other, "ref").filter("p <> q").select(*ends, (F.col("x") * F.col("y")).alias("shared")).distinct()
+        if large.head(1):
+            twice = twice.join(large.withColumnRenamed("paper", "a"), "a", "left_anti").join(large.withColumnRenamed("paper", "b"), "b", "left_anti")
+        pairs = pairs.unionByName(twice.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if large.head(1):
+        big = one.join(large.withColumnRenamed("paper", "p"), "p").join(other, "ref").filter("p <> q")
+        # Of two large records each meets the other.
+        met = big.groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("shared"))
+        pairs = pairs.unionByName(met.select(*ends, "shared").distinct())
+    return store.put(pairs.filter(F.col("shared") >= min_shared), "pairs")
 
 
 def coupling_links(references: DataFrame, store: Store, min_shared: int = 2, keyed: int = KEYED_REFERENCES) -> DataFrame:
@@ -219,9 +266,7 @@ def coupling_links(references: DataFrame, store: Store, min_shared: int = 2, key
     sizes = store.put(shared.groupBy("paper").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     sized = store.put(lookup(shared.select("paper", "ref"), sizes, "paper", store, "hot-records"), "sized")
     lists = sized.filter(F.col("n") <= keyed).groupBy("paper").agg(F.array_sort(F.collect_list("ref")).alias("refs"))  # at most ``keyed``
-    one = lists.select("paper", "refs", F.posexplode("refs").alias("i", "r1"))
-    two = one.select("paper", "r1", F.explode(F.slice("refs", F.col("i") + 2, F.size("refs") - F.col("i") - 1)).alias("r2"))
-    keys = store.put(two.select("paper", F.struct("r1", "r2").alias("key")), "keys")
+    keys = store.put(_reference_keys(lists).select("paper", F.struct(F.col("one").alias("r1"), F.col("two").alias("r2")).alias("key")), "keys")
     leads = keys.groupBy("key").agg(F.min("paper").alias("lead"), F.max("paper").alias("last")).filter("lead < last").select("key", "lead")
     by_key = lookup(keys, store.put(leads, "leads"), "key", store, "hot-keys").select(F.col("paper").alias("a"), F.col("lead").alias("b")).filter("a <> b")
     large = sized.filter(F.col("n") > keyed).select("ref", F.col("paper").alias("a"))
@@ -229,15 +274,15 @@ def coupling_links(references: DataFrame, store: Store, min_shared: int = 2, key
     return alone.unionByName(by_key).unionByName(counted)
 
 
-def coupled_groups(references: DataFrame, min_shared: int = 2) -> DataFrame:
+def coupled_groups(references: DataFrame, min_shared: int = 2, rows: int | None = None) -> DataFrame:
     """(node, component) of all records that share at least ``min_shared`` references with another one."""
-    store = Store(references.sparkSession, "coupling")
+    store = _store(references, rows)
     return connected_components(coupling_links(references, store, min_shared), store)
 
 
-def coupling_gaps(references: DataFrame, covered: DataFrame, min_shared: int = 2) -> DataFrame:
+def coupling_gaps(references: DataFrame, covered: DataFrame, min_shared: int = 2, rows: int | None = None) -> DataFrame:
     """(component, members, uncovered): strongly coupled groups with at least two records outside all clusters."""
-    members = coupled_groups(references, min_shared)
+    members = coupled_groups(references, min_shared, rows)
     out = members.join(covered.select(F.col("paper").alias("node")).distinct().withColumn("inside", F.lit(1)), "node", "left")
     groups = out.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("inside").isNull(), 1)).alias("uncovered"))
     return groups.filter("members >= 2 and uncovered >= 2")

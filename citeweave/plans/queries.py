@@ -276,14 +276,14 @@ def betweenness_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coupling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share at least two parts."""
-    return graph.coupling_pairs(order_references(spark, sf_dir))
+    return graph.coupling_pairs(order_references(spark, sf_dir), rows=table(spark, sf_dir, "lineitem").count())
 
 
 @query
 def coupling_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coupled groups outside urgent orders."""
     covered = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("paper"))
-    return graph.coupling_gaps(order_references(spark, sf_dir), covered)
+    return graph.coupling_gaps(order_references(spark, sf_dir), covered, rows=table(spark, sf_dir, "lineitem").count())
 
 
 @query

@@ -2,6 +2,7 @@
 
 import random
 import threading
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -130,6 +131,23 @@ def test_coupling_links_connect_what_pairs_connect(spark, min_shared, keyed):
     assert pairs and roots(links) == roots(pairs)
 
 
+@pytest.mark.parametrize("min_shared,keyed", [(2, 128), (2, 3), (3, 4)])
+def test_coupling_pairs_by_definition(spark, min_shared, keyed):
+    draw = random.Random(keyed)
+    rows = [(draw.randrange(40), draw.randrange(30)) for _ in range(160)] + [(70, r) for r in range(20)] + [(71, r) for r in range(15, 25)] + [(72, 5), (72, 5), (72, 5), (73, 5), (None, 1), (3, None)]
+    want = Counter((a, b) for a, r in rows for b, q in rows if None not in (a, b, r, q) and r == q and a < b)
+    got = graph.coupling_pairs(spark.createDataFrame(rows, "paper long, ref long"), min_shared, keyed=keyed).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b): r.shared for r in got} == {k: n for k, n in want.items() if n >= min_shared}
+
+
+def test_coupling_lists_no_pairs_of_one_reference(spark):
+    """Thirty thousand records hold one reference and every two of them another: 450 million pairs share one, 15 000 share two."""
+    ids = spark.range(30_000).select(F.col("id").alias("paper"))
+    refs = ids.select("paper", F.lit(-1).cast("long").alias("ref")).unionByName(ids.select("paper", F.expr("paper div 2").alias("ref")))
+    found = graph.coupling_pairs(refs)
+    assert found.agg(F.count(F.lit(1)), F.min("shared"), F.max("shared"), F.min(F.expr("b - a")), F.max(F.expr("b - a"))).first() == (15_000, 2, 2, 1, 1)
+
+
 def test_coupling_of_a_reference_that_all_records_hold(spark):
     """A hundred thousand records hold one reference; listing their pairs would take five thousand million rows."""
     n = 100_000
