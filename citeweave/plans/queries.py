@@ -399,7 +399,8 @@ def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and figures of documents with captions, rows, headings and blank lines put between their lines."""
     put = F.when(F.col("doc_id") % 3 == 0, "Table 1: of runs\nover two seeds\nA  1  2\nB  3  4").when(F.col("doc_id") % 3 == 1, "Fig. 2  of parts\n\nResults\n| a | 1 |").otherwise("tab. 3 alone\n\n\none more line\n7 of 9 in 11 runs\nx | y\nFigure 4\n")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 1, F.concat(x, F.lit("\n"), put)).otherwise(x))
-    found = sections.detect_tables(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    found = sections.detect_tables(docs.select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", parts=tfidf.text_parts(docs)[1])
     chars = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x["caption"])).cast("long")
     rows = F.aggregate("tables", F.lit(0), lambda a, t: a + F.size(t["rows"])).cast("long")
     return found.select(F.col("doc").alias("doc_id"), F.size("tables").cast("long").alias("n_tables"), F.size("figures").cast("long").alias("n_figures"), rows.alias("n_rows"), chars(F.col("tables")).alias("table_chars"), chars(F.col("figures")).alias("figure_chars"))

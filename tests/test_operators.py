@@ -1,16 +1,19 @@
 """Operators on small tables, their traps included."""
 
+import math
 import random
 import threading
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
 
+from citeweave import storage
 from citeweave.config import Settings, settings_from_env
-from citeweave.operators import audit, dedup, enrich, graph, ranking, record_store, sections, topics
+from citeweave.operators import audit, dedup, enrich, graph, ranking, record_store, sections, tfidf, topics
 from citeweave.schemas import FULLTEXT_STRUCT, PAPERS
 from citeweave.sources import cache, payloads, works_source
 from citeweave.storage import Store
@@ -226,6 +229,54 @@ def test_sections_and_tables(spark):
     assert long == "## 摘要\na\n\n## Methods\nm\n\n## 3 Results\nq\n\n\n## 图表线索\n- 图：Fig. 1"
 
 
+def test_lines_are_judged_once(spark, capsys):
+    """The plan of the result starts from the lines kept, not from the texts."""
+    docs = spark.createDataFrame([(1, "Table 1: of runs\nA  1  2\nB  3  4\n\nprose without numbers\n7 of 9 in 11 runs"), (2, None)], "doc long, text string")
+    found = sections.detect_tables(docs)
+    got = {r.doc: [(t.caption, list(t.rows)) for t in r.tables] for r in found.collect()}
+    assert got == {1: [("Table 1: of runs A 1 2", ["B  3  4"]), ("", ["B  3  4"]), ("", ["7 of 9 in 11 runs"])], 2: []}
+    capsys.readouterr()
+    found.explain()
+    assert "posexplode" not in capsys.readouterr().out
+
+
+def test_parts_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_BYTES", 100)
+    docs = spark.range(50).select(F.col("id").alias("doc"), F.lit("some words of forty characters, no more..").alias("text"))
+    n, parts = tfidf.text_parts(docs)
+    assert (n, parts) == (50, 21)
+    v = tfidf.Vectorizer(ngrams=1, max_features=None)
+    assert tfidf.term_counts(docs, v, parts).rdd.getNumPartitions() == tfidf.weights(docs, v).rdd.getNumPartitions() == 21
+    seen = []
+    store, write = Store(spark, "parts", parts), DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(spark.conf.get(storage.SHUFFLES)), write(self, *a, **k)))
+    before = spark.conf.get(storage.SHUFFLES)
+    assert store.put(docs.groupBy("text").count(), "t").count() == 1
+    assert seen == ["21"] and spark.conf.get(storage.SHUFFLES) == before
+
+
+@pytest.mark.parametrize("hot,asked", [(1, 1 << 19), (8, 0), (1 << 17, 1 << 19)])
+def test_recall_by_definition(spark, monkeypatch, hot, asked):
+    """Frequent and rare terms, queries beside the tasks or dealt: each query fitted with all documents."""
+    monkeypatch.setattr(record_store, "HOT_TERMS", hot)
+    monkeypatch.setattr(record_store, "MOST_ASKED", asked)
+    draw, words = random.Random(5), [f"term{i}" for i in range(12)]
+    docs = {i: [draw.choice(words) for _ in range(draw.randrange(1, 9))] for i in range(30)}
+    queries = {i: [draw.choice([*words, "unknown"]) for _ in range(3)] for i in range(4)}
+    want = {}
+    for q, ws in queries.items():
+        idf = {w: math.log((2 + len(docs)) / (1 + sum(w in d for d in [*docs.values(), ws]))) + 1 for w in [*words, "unknown"]}
+        vec = lambda d: {w: n * idf[w] for w, n in Counter(d).items()}  # noqa: E731, B023
+        norm = lambda x: math.sqrt(sum(c * c for c in x.values()))
+        a = vec(ws)
+        scores = {i: sum(a[w] * c for w, c in vec(d).items() if w in a) / norm(a) / norm(vec(d)) for i, d in docs.items()}
+        want |= {(q, i): s for i, s in sorted(scores.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5] if s > 0}
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{key} long, text string")
+    got = {(r.query, r.doc): r.score for r in record_store.recall(frame(docs, "doc"), frame(queries, "query"), 5).collect()}
+    assert len(got) == len(want) and sorted(got.values()) == pytest.approx(sorted(want.values()))
+    assert {k: got[k] for k in got if k in want} == pytest.approx({k: want[k] for k in got if k in want})
+
+
 def test_extract_of_many_sections(spark):
     """Each section is looked at once: a running total taken anew for every section does not end here."""
     body = lambda i: F.struct(F.lit("Methods").alias("heading"), F.lit(1).alias("level"), F.concat(F.lit("text "), i.cast("string")).alias("text"))
