@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .arrow_tools import bounded_slices, utf8_of
 from ..operators.components import connected_components
-from ..storage import Store
+from ..storage import SHUFFLES, Store
 from .tables import read_table
 from .textops import mix64, shingles, words_of
 
@@ -60,6 +60,8 @@ PARTS = 16
 LIST_PART, CLUSTER_PART = 256, 1024
 #: A value held by more than one row in this many is hot, so there are never more hot values than this.
 HOT_SHARE = 4096
+#: Bytes of text for each part of a shuffle.
+SHUFFLE_BYTES = 16 << 20
 
 
 class Threshold:
@@ -397,11 +399,18 @@ def _named_apart(base: DataFrame, store: Store) -> DataFrame | None:
     return store.put(base.join(shared, "doc_id", "left_semi").select("doc_id", "text_hash").distinct().withColumn("node", node), "apart")
 
 
+def _parts_for(docs: DataFrame) -> int:
+    """Parts of SHUFFLE_BYTES of text."""
+    return -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHUFFLE_BYTES)
+
+
 def _components(docs: DataFrame, size: int, percent: int, store: Store) -> tuple[DataFrame, bool]:
     """(doc_id, text_hash, n, component, component_id) of every row; component is a number of the group, component_id its least key.
 
     The second value tells whether keys are shared by different texts.
     """
+    # Blocks and entries are several times the texts, so parts follow the texts' size.
+    store.parts = _parts_for(docs)
     base = store.put(shingle_sets(docs, size, percent), "sets")
     apart = _named_apart(base.select("doc_id", "text_hash"), store)
     own = F.col("doc_id").cast("long")
@@ -491,10 +500,16 @@ def keep_one_per_group(docs: DataFrame, size: int = SHINGLE, percent: int = 90)
     heads = rows.filter("component is not null").join(least, ["component", "doc_id", "text_hash"], "left_semi").unionByName(rows.filter("component is null"))
     heads = store.put(heads.select("doc_id", "text_hash", "copies"), "heads")
     # Columns are taken by table, as any name may be among the documents' own.
-    on = docs["doc_id"].cast("long") == heads["doc_id"]
+    if store.parts > int(docs.sparkSession.conf.get(SHUFFLES)):
+        # Whoever writes the result may have fewer parts than whole texts need.
+        dealt = docs.repartition(store.parts, *([docs["doc_id"].cast("long"), F.xxhash64(docs["text"])] if shared else [docs["doc_id"].cast("long")]))
+        heads = heads.repartition(store.parts, *(["doc_id", "text_hash"] if shared else ["doc_id"]))
+    else:
+        dealt = docs
+    on = dealt["doc_id"].cast("long") == heads["doc_id"]
     if shared:
-        on = on & (F.xxhash64(docs["text"]) == heads["text_hash"])
-    kept = docs.join(heads, on, "left_semi")
+        on = on & (F.xxhash64(dealt["text"]) == heads["text_hash"])
+    kept = dealt.join(heads, on, "left_semi")
     if heads.filter("copies > 1").head(1):
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter("doc_id is null"))
