@@ -66,3 +66,15 @@ def test_odd_rows_are_accounted_for(spark):
             assert all(r.n_chars == len(r.text) for r in got)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
     assert sum(r.piece == 0 for r in packed) == len(got)
+
+
+def test_near_duplicates_take_parts_by_the_texts_size(spark, monkeypatch):
+    """A session with few shuffle partitions does not make tasks that grow with the input."""
+    from citeweave.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "SHUFFLE_BYTES", 100)
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(12))
+    docs = spark.createDataFrame([(i, text(i // 2)) for i in range(10)] + [(None, "no key")], "doc_id long, text string")
+    kept = jaccard_join.keep_one_per_group(docs, 5, 80)
+    assert kept.rdd.getNumPartitions() >= 10
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in range(0, 10, 2)] + [(True, None)]
